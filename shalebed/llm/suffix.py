@@ -121,7 +121,7 @@ def _send_anchors(length: int, gram: int, parts: int):
         yield pa.RecordBatch.from_arrays([pa.array(blobs["part"], pa.int32()), *(binary(blobs[k]) for k in ("hashes", "sides", "docs", "places")), none, none], names=["part", "hashes", "sides", "docs", "places", "doc_id", "version"])
         i = np.flatnonzero(marked)
         if len(i):
-            yield _marks(doc[i], version[i], at[i])
+            yield _marks(doc[i], version[i], at[i], parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -144,7 +144,7 @@ def _send_anchors(length: int, gram: int, parts: int):
     return run
 
 
-def _marks(doc: np.ndarray, version: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+def _marks(doc: np.ndarray, version: np.ndarray, at: np.ndarray, parts: int = 1) -> pa.RecordBatch:
     """One row for each document, with all of its places."""
     order = np.lexsort((at, version, doc))
     doc, version, at = doc[order], version[order], at[order].astype(np.uint32)
@@ -152,10 +152,14 @@ def _marks(doc: np.ndarray, version: np.ndarray, at: np.ndarray) -> pa.RecordBat
     ends = [*first[1:], len(doc)]
     n = len(first)
     none = pa.nulls(n, pa.binary())
-    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), none, none, none, binary([at[a:b].tobytes() for a, b in zip(first, ends)]), pa.array(doc[first]), pa.array(version[first])], names=["part", "hashes", "sides", "docs", "places", "doc_id", "version"])
+    return pa.RecordBatch.from_arrays([pa.array((version[first] % parts).astype(np.int32)), none, none, none, binary([at[a:b].tobytes() for a, b in zip(first, ends)]), pa.array(doc[first]), pa.array(version[first])], names=["part", "hashes", "sides", "docs", "places", "doc_id", "version"])
 
 
 def _mark(table: pd.DataFrame) -> pd.DataFrame:
+    ready = table[table["hashes"].isna()][["doc_id", "version", "places"]]
+    table = table[table["hashes"].notna()]
+    if not len(table):
+        return ready
     hashed = np.concatenate([np.frombuffer(x, np.uint64) for x in table["hashes"]])
     left, right, forced = np.concatenate([np.frombuffer(x, np.uint16).reshape(3, -1) for x in table["sides"]], axis=1)
     doc, version = np.concatenate([np.frombuffer(x, np.int64).reshape(2, -1) for x in table["docs"]], axis=1)
@@ -168,9 +172,9 @@ def _mark(table: pd.DataFrame) -> pd.DataFrame:
     hot[group[forced > 0]] = True
     i = np.flatnonzero((marked | hot[group]) & (forced == 0))
     if not len(i):
-        return pd.DataFrame({"doc_id": pd.Series(dtype="int64"), "version": pd.Series(dtype="int64"), "places": pd.Series(dtype=object)})
+        return ready
     got = _marks(doc[i], version[i], at[i])
-    return pd.DataFrame({"doc_id": got.column(5).to_numpy(), "version": got.column(6).to_numpy(), "places": got.column(4).to_pylist()})
+    return pd.concat([ready, pd.DataFrame({"doc_id": got.column(5).to_numpy(), "version": got.column(6).to_numpy(), "places": got.column(4).to_pylist()})])
 
 
 def _runs(doc: np.ndarray, version: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -202,7 +206,7 @@ def _spans(doc: np.ndarray, version: np.ndarray, start: np.ndarray, end: np.ndar
 def _send_contexts(length: int, gram: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text"):
                 data, offsets = block(batch.column(2))
                 places = batch.column(3).to_pylist()
                 got = [np.frombuffer(b"".join(x), np.uint32) for x in places]
@@ -380,9 +384,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     texts = id_and_text(docs).select("doc_id", F.xxhash64("text").alias("version"), "text")
     numbered = texts.where("doc_id is not null")
     schema = "part int, hashes binary, sides binary, docs binary, places binary, doc_id long, version long"
-    sent = materialize(numbered.mapInArrow(_send_anchors(length, gram, parts), schema), "anchors")
-    marks = sent.where("part is not null").groupBy("part").applyInPandas(_mark, "doc_id long, version long, places binary")
-    marks = marks.unionByName(sent.where("part is null").select("doc_id", "version", "places"))
+    sent = numbered.mapInArrow(_send_anchors(length, gram, parts), schema)
+    marks = sent.groupBy("part").applyInPandas(_mark, "doc_id long, version long, places binary")
     by_doc = materialize(marks.groupBy("doc_id", "version").agg(F.collect_list("places").alias("places")), "marks")
     marked = numbered.dropDuplicates(["doc_id", "version"]).join(by_doc, ["doc_id", "version"]).select("doc_id", "version", "text", "places")
     contexts = materialize(marked.mapInArrow(_send_contexts(length, gram, parts), _CONTEXTS), "contexts")
