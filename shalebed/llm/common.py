@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: One word: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of an Arrow batch.
+BATCH = 1024
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE2 = 0xD1342543DE82EF95 | 1
 _WS = np.zeros(256, bool)
@@ -53,7 +55,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:
-    """doc_id and text, a null text as the empty one."""
+    """doc_id and text, a null text as the empty one. Arrow batches get few rows, for texts may be long."""
+    if int(docs.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
+        docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
@@ -61,7 +65,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 3 << 18) -> Iterator[pa.RecordBatch]:
     """Row slices of about `most` bytes of text; one longer text is a slice of its own."""
     n = batch.num_rows
     if not n:
@@ -104,7 +108,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i up to n."""
     if base not in _pow or len(_pow[base][0]) <= n:
-        size = max(n + 1, 1 << 21)
+        size = max(n + 1, 1 << 20)
         up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         _pow[base] = (np.multiply.accumulate(up), np.multiply.accumulate(down))

@@ -28,7 +28,7 @@ from shalebed.llm.common import Rolling, binary, block, digests, id_and_text, ma
 LENGTH, GRAM = 50, 24
 SIDE = (LENGTH - GRAM) // 2
 #: Bytes of text whose anchors are gathered before they are sent.
-FLUSH = 8 << 20
+FLUSH = 4 << 20
 
 
 class Anchors:
@@ -117,7 +117,7 @@ def _send_anchors(length: int, gram: int, parts: int):
                 blobs["docs"].append(np.stack([doc[i], version[i]]).tobytes())
                 blobs["places"].append(at[i].astype(np.uint32).tobytes())
         n = len(blobs["part"])
-        none = pa.nulls(n, pa.int64())
+        none = pa.array(np.zeros(n, np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(blobs["part"], pa.int32()), *(binary(blobs[k]) for k in ("hashes", "sides", "docs", "places")), none, none], names=["part", "hashes", "sides", "docs", "places", "doc_id", "version"])
         i = np.flatnonzero(marked)
         if len(i):
