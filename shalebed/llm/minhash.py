@@ -19,6 +19,8 @@ from shalebed.llm.components import components
 BANDS, ROWS, WIDTH, PERCENT = 20, 4, 5, 85
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 384
+#: Members of a bucket that one task compares with the least id.
+STAR = 96
 _SEED = np.random.default_rng(20240501)
 _A = _SEED.integers(0, 2**63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _SEED.integers(0, 2**63, 512, dtype=np.uint64)
@@ -188,8 +190,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     ids = bucketed.select("id").distinct()
     sets = materialize(texts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "id long, hashes binary"), "sets")
     pairs = bucketed.where("id <> hub").groupBy("hub", "id").agg(F.max("members").alias("members"))
-    # Salted, so a task has about BLOCK members of one hub; the hub goes to each of its parts.
-    salted = pairs.withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("int"))
+    # Salted, so a task has about STAR members of one hub; the hub goes to each of its parts.
+    salted = pairs.withColumn("parts", F.ceil(F.col("members") / STAR).cast("int"))
     tasks = salted.select("hub", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id")
     centers = tasks.select("hub", "parts", "part").distinct().withColumn("id", F.col("hub"))
     compared = materialize(tasks.unionByName(centers).join(sets, "id").groupBy("hub", "parts", "part").applyInPandas(_star(percent), "u long, v long"), "stars")
