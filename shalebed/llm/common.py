@@ -65,7 +65,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 3 << 18) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Row slices of about `most` bytes of text; one longer text is a slice of its own."""
     n = batch.num_rows
     if not n:
@@ -108,7 +108,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i up to n."""
     if base not in _pow or len(_pow[base][0]) <= n:
-        size = max(n + 1, 1 << 20)
+        size = max(n + 1, 1 << 19)
         up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         _pow[base] = (np.multiply.accumulate(up), np.multiply.accumulate(down))

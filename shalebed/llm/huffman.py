@@ -8,6 +8,7 @@ canonical: by length, then by id. The stream is in ascending doc_id order, nulls
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import uuid
@@ -24,7 +25,7 @@ from shalebed.llm.common import binary, block, id_and_text, materialize, partiti
 #: Ids of a block, which is decoded on its own, and of a part.
 BLOCK, PART = 512, 1 << 20
 #: Distinct text units whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Where a blank between two others would join them in one run of white space.
 _JOINED = re.compile(r"\s (?:\s|\Z)")
 
@@ -51,24 +52,62 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = end
+        # Bytes of each token; a byte-level vocabulary writes every byte as one character.
+        self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.width[i] = len(token)
         self._clear()
 
     def _clear(self) -> None:
         self.units, self.size, self.ids = _Units(), np.zeros(0, np.int64), np.zeros(0, np.uint32)
         self.known = 0
+        self.used = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the units met more than once since the last time, at most half as many as may be."""
+        keep = np.flatnonzero(self.used > 1)
+        if 2 * len(keep) > REMEMBERED:
+            keep = np.sort(keep[np.argsort(-self.used[keep], kind="stable")[: REMEMBERED // 2]])
+        units = list(self.units)
+        begin = np.cumsum(self.size) - self.size
+        size, ids = self.size[keep], self.ids[spread(begin[keep], self.size[keep])]
+        self._clear()
+        for k in keep.tolist():
+            self.units[units[k]]  # numbers it
+        self.size, self.ids, self.known, self.used = size, ids, len(keep), np.zeros(len(keep), np.int64)
 
     def _learn(self) -> None:
-        new = list(self.units)[self.known :] if self.known else list(self.units)
-        if new:
-            got = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.size = np.concatenate([self.size, np.fromiter(map(len, got), np.int64, len(got))])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), np.uint32)])
-            self.known = len(self.units)
+        new = list(itertools.islice(self.units, self.known, None))
+        if not new:
+            return
+        size, ids = np.zeros(len(new), np.int64), [np.zeros(0, np.uint32)] * len(new)
+        # Units that begin with a blank and another character split off by themselves, so many go to the library at once.
+        joined = [k for k, x in enumerate(new) if len(x) > 1 and x[0] == " " and not x[1].isspace()]
+        alone = set(range(len(new))).difference(joined)
+        for at in range(0, len(joined), 20_000):
+            part = joined[at : at + 20_000]
+            got = np.array(self.tokenizer.encode_batch_fast(["".join([new[k] for k in part])], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum(np.fromiter((len(new[k].encode()) for k in part), np.int64, len(part)))
+            reach = np.cumsum(self.width[got])
+            to = np.searchsorted(reach, ends) + 1
+            if to[-1] == len(got) and (reach[to - 1] == ends).all():
+                begin = np.concatenate([[0], to[:-1]])
+                size[part] = to - begin
+                for k, a, b in zip(part, begin.tolist(), to.tolist()):
+                    ids[k] = got[a:b]
+            else:
+                alone.update(part)
+        for k, x in zip(sorted(alone), self.tokenizer.encode_batch_fast([new[k] for k in sorted(alone)], add_special_tokens=False)):
+            ids[k] = np.array(x.ids, np.uint32)
+            size[k] = len(ids[k])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, *ids])
+        self.known = len(self.units)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and how many each text has."""
         if len(self.units) > REMEMBERED:
-            self._clear()
+            self._forget()
         number = self.units.__getitem__
         flat: list[int] = []
         count: list[int] = []
@@ -87,6 +126,9 @@ class Encoder:
             count.append(len(flat) - had)
         self._learn()
         unit = np.array(flat, np.int64)
+        used = np.bincount(unit, minlength=len(self.units))
+        used[: len(self.used)] += self.used
+        self.used = used
         begin = np.cumsum(self.size) - self.size
         size = self.size[unit]
         row = np.repeat(np.arange(len(texts)), count)
@@ -108,9 +150,19 @@ class Encoder:
         return out, total
 
 
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def _encoder(path: str, end: int) -> Encoder:
+    """A worker's encoder serves all of its tasks."""
+    if (path, end) not in _encoders:
+        _encoders[path, end] = Encoder(path, end)
+    return _encoders[path, end]
+
+
 def _tokenize(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, end)
+        encoder = _encoder(path, end)
         shard = TaskContext.get().partitionId()
         first, held, n = 0, [], 0
 

@@ -204,12 +204,45 @@ def _spans(doc: np.ndarray, version: np.ndarray, start: np.ndarray, end: np.ndar
 
 
 def _send_contexts(length: int, gram: int, parts: int):
+    def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if not rows:
+            return
+        hashed, key, doc, version, place, size = (np.concatenate(x) for x in list(zip(*rows))[:6])
+        data = np.concatenate([x[6] for x in rows])
+        begin = np.cumsum(size) - size
+        order = np.lexsort((doc, key[:, 1], key[:, 0], hashed))
+        lead = np.concatenate([[True], (key[order][1:] != key[order][:-1]).any(1) | (hashed[order][1:] != hashed[order][:-1])])
+        head = np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))
+        # A copy in a later document of this batch: all its windows start in an earlier one.
+        later = doc[order] > doc[order][head]
+        i = order[later]
+        if len(i):
+            docs, versions, spans = _spans(doc[i], version[i], place[i], place[i] + size[i])
+            n = len(docs)
+            none = pa.nulls(n, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array((versions % parts).astype(np.int32)), none, none, none, none, none, pa.array(docs), pa.array(versions), binary(spans)], names=_NAMES)
+        i = order[~later]
+        part = (hashed[i] % np.uint64(parts)).astype(np.int64)
+        i = i[np.argsort(part, kind="stable")]
+        bounds = np.searchsorted(np.sort(part), np.arange(parts + 1))
+        blobs: list[list] = [[] for _ in range(6)]
+        for p in range(parts):
+            j = i[bounds[p] : bounds[p + 1]]
+            if len(j):
+                for to, x in zip(blobs, (p, hashed[j].tobytes(), data[spread(begin[j], size[j])].tobytes(), size[j].astype(np.uint16).tobytes(), place[j].astype(np.uint32).tobytes(), np.stack([doc[j], version[j]]).tobytes())):
+                    to.append(x)
+        n = len(blobs[0])
+        if n:
+            zero = pa.array(np.zeros(n, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(blobs[0], pa.int32()), *map(binary, blobs[1:]), zero, zero, pa.nulls(n, pa.binary())], names=_NAMES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
         for whole in batches:
             for batch in slices(whole, "text"):
                 data, offsets = block(batch.column(2))
-                places = batch.column(3).to_pylist()
-                got = [np.frombuffer(b"".join(x), np.uint32) for x in places]
+                got = [np.frombuffer(b"".join(x), np.uint32) for x in batch.column(3).to_pylist()]
                 row = np.repeat(np.arange(len(got)), [len(x) for x in got])
                 at = np.concatenate(got).astype(np.int64) + offsets[row]
                 at, keep = np.unique(at, return_index=True)
@@ -218,35 +251,13 @@ def _send_contexts(length: int, gram: int, parts: int):
                     continue
                 found = Anchors(data, offsets, length, gram)
                 first, last = found.rule(at)
-                stop = last + length
-                ids, versions = batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row]
-                key = digests(data, first, stop)
-                order = np.lexsort((ids, key[:, 1], key[:, 0], found.hash[at]))
-                same = (key[order][1:] == key[order][:-1]).all(1) & (found.hash[at][order][1:] == found.hash[at][order][:-1])
-                lead = np.concatenate([[True], ~same])
-                head = np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))
-                # A copy in a later document of this batch: all its windows start in an earlier one.
-                later = ids[order] > ids[order][head]
-                i = order[later]
-                if len(i):
-                    doc, version, spans = _spans(ids[i], versions[i], first[i] - offsets[row[i]], stop[i] - offsets[row[i]])
-                    n = len(doc)
-                    none = pa.nulls(n, pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), none, none, none, none, none, pa.array(doc), pa.array(version), binary(spans)], names=_NAMES)
-                i = order[~later]
-                part = (found.hash[at[i]] % np.uint64(parts)).astype(np.int64)
-                i = i[np.argsort(part, kind="stable")]
-                bounds = np.searchsorted(np.sort(part), np.arange(parts + 1))
-                rows: list[list] = [[] for _ in range(6)]
-                for p in range(parts):
-                    j = i[bounds[p] : bounds[p + 1]]
-                    if len(j):
-                        size = stop[j] - first[j]
-                        for to, x in zip(rows, (p, found.hash[at[j]].tobytes(), data[spread(first[j], size)].tobytes(), size.astype(np.uint16).tobytes(), (first[j] - offsets[row[j]]).astype(np.uint32).tobytes(), np.stack([ids[j], versions[j]]).tobytes())):
-                            to.append(x)
-                n = len(rows[0])
-                if n:
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *map(binary, rows[1:]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=_NAMES)
+                size = last + length - first
+                rows.append((found.hash[at], digests(data, first, first + size), batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row], first - offsets[row], size, data[spread(first, size)]))
+                held += int(size.sum())
+                if held > FLUSH:
+                    yield from out(rows)
+                    rows, held = [], 0
+        yield from out(rows)
 
     return run
 
@@ -261,12 +272,12 @@ def suffix_order(text: np.ndarray, stop: np.ndarray) -> np.ndarray:
         key = (key << np.uint64(8)) | np.where(place + k < stop, padded[k : k + n], np.uint64(0))
     have, longest = 8, int((stop - place).max())
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_ = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate([[1], (sorted_[1:] != sorted_[:-1]).astype(np.int64)]))
         if have >= longest or rank[order[-1]] == n:
-            return order
+            return np.argsort((rank << 32) | place)
         ahead = place + have
         key = (rank.astype(np.uint64) << np.uint64(32)) | np.where(ahead < stop, rank[np.minimum(ahead, n - 1)], 0).astype(np.uint64)
         have *= 2
@@ -298,8 +309,12 @@ def intervals(text: np.ndarray, stop: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def _expand(length: int, most: int = 1 << 20):
+def _expand(length: int, most: int = 1 << 18):
     def run(table: pd.DataFrame) -> pd.DataFrame:
+        ready = table[table["hashes"].isna()][["doc_id", "version", "spans"]]
+        table = table[table["hashes"].notna()]
+        if not len(table):
+            return ready
         hashed = np.concatenate([np.frombuffer(x, np.uint64) for x in table["hashes"]])
         size = np.concatenate([np.frombuffer(x, np.uint16) for x in table["lengths"]]).astype(np.int64)
         place = np.concatenate([np.frombuffer(x, np.uint32) for x in table["rules"]]).astype(np.int64)
@@ -342,7 +357,7 @@ def _expand(length: int, most: int = 1 << 20):
         owner, offset = owner[found], (window - np.repeat(begins[context], n))[found]
         s = place[owner] + offset
         d, v, spans = _spans(doc[owner], version[owner], s, s + length)
-        return pd.DataFrame({"doc_id": d, "version": v, "spans": spans})
+        return pd.concat([ready, pd.DataFrame({"doc_id": d, "version": v, "spans": spans})])
 
     return run
 
@@ -380,7 +395,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     results. A row whose doc_id is null takes part in no match and stays whole. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    parts = partitions(spark)
+    parts = 4 * partitions(spark)
     texts = id_and_text(docs).select("doc_id", F.xxhash64("text").alias("version"), "text")
     numbered = texts.where("doc_id is not null")
     schema = "part int, hashes binary, sides binary, docs binary, places binary, doc_id long, version long"
@@ -388,9 +403,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     marks = sent.groupBy("part").applyInPandas(_mark, "doc_id long, version long, places binary")
     by_doc = materialize(marks.groupBy("doc_id", "version").agg(F.collect_list("places").alias("places")), "marks")
     marked = numbered.dropDuplicates(["doc_id", "version"]).join(by_doc, ["doc_id", "version"]).select("doc_id", "version", "text", "places")
-    contexts = materialize(marked.mapInArrow(_send_contexts(length, gram, parts), _CONTEXTS), "contexts")
-    spans = contexts.where("part is not null").groupBy("part").applyInPandas(_expand(length), "doc_id long, version long, spans binary")
-    spans = spans.unionByName(contexts.where("part is null").select("doc_id", "version", "spans"))
+    spans = marked.mapInArrow(_send_contexts(length, gram, parts), _CONTEXTS).groupBy("part").applyInPandas(_expand(length), "doc_id long, version long, spans binary")
     of_doc = materialize(spans.groupBy("doc_id", "version").agg(F.collect_list("spans").alias("spans")), "spans")
     joined = texts.join(of_doc, ["doc_id", "version"], "left").select("doc_id", "version", F.col("text").cast("binary").alias("text"), "spans")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, kept_sha256 string")
