@@ -94,9 +94,9 @@ def _send_anchors(length: int, gram: int, parts: int):
     def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if not rows:
             return
-        hashed, left, right, doc, version, at = (np.concatenate(x) for x in zip(*rows))
+        hashed, left, right, doc, at = (np.concatenate(x) for x in zip(*rows))
         order = np.argsort(hashed, kind="stable")
-        hashed, left, right, doc, version, at = (x[order] for x in (hashed, left, right, doc, version, at))
+        hashed, left, right, doc, at = (x[order] for x in (hashed, left, right, doc, at))
         group = np.cumsum(np.concatenate([[0], (hashed[1:] != hashed[:-1]).astype(np.int64)]))
         matched = np.zeros(int(group[-1]) + 1, bool)
         matched[group[_pairs(group, left, doc) | _pairs(group, right, doc)]] = True
@@ -105,7 +105,7 @@ def _send_anchors(length: int, gram: int, parts: int):
         first = np.concatenate([[True], group[1:] != group[:-1]])
         keep = np.flatnonzero(~marked | first)
         part = (hashed[keep] % np.uint64(parts)).astype(np.int64)
-        keep = keep[np.argsort(part, kind="stable")]
+        keep = keep[np.lexsort((order[keep], part))]  # documents in order within a part, which packs well
         bounds = np.searchsorted(np.sort(part), np.arange(parts + 1))
         blobs: dict[str, list] = {k: [] for k in ("part", "hashes", "sides", "docs", "places")}
         for p in range(parts):
@@ -114,27 +114,26 @@ def _send_anchors(length: int, gram: int, parts: int):
                 blobs["part"].append(p)
                 blobs["hashes"].append(hashed[i].tobytes())
                 blobs["sides"].append(np.stack([left[i], right[i], marked[i].astype(np.uint16)]).tobytes())
-                blobs["docs"].append(np.stack([doc[i], version[i]]).tobytes())
+                blobs["docs"].append(doc[i].tobytes())
                 blobs["places"].append(at[i].astype(np.uint32).tobytes())
         n = len(blobs["part"])
-        none = pa.array(np.zeros(n, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(blobs["part"], pa.int32()), *(binary(blobs[k]) for k in ("hashes", "sides", "docs", "places")), none, none], names=["part", "hashes", "sides", "docs", "places", "doc_id", "version"])
+        yield pa.RecordBatch.from_arrays([pa.array(blobs["part"], pa.int32()), *(binary(blobs[k]) for k in ("hashes", "sides", "docs", "places")), pa.array(np.zeros(n, np.int64))], names=["part", "hashes", "sides", "docs", "places", "doc_id"])
         i = np.flatnonzero(marked)
         if len(i):
-            yield _marks(doc[i], version[i], at[i], parts)
+            yield _marks(doc[i], at[i], parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held = 0
         for whole in batches:
             for batch in slices(whole, "text"):
-                data, offsets = block(batch.column(2))
+                data, offsets = block(batch.column(1))
                 found = Anchors(data, offsets, length, gram)
                 at = found.at
                 row = np.searchsorted(offsets, at, side="right") - 1
                 side = (length - gram) // 2
-                ids, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                rows.append((found.hash[at], found.side(at - side, at), found.side(at + gram, at + gram + side), ids[row], versions[row], at - offsets[row]))
+                ids = batch.column(0).to_numpy()
+                rows.append((found.hash[at], found.side(at - side, at), found.side(at + gram, at + gram + side), ids[row], at - offsets[row]))
                 held += len(data)
                 if held > FLUSH:
                     yield from out(rows)
@@ -144,25 +143,25 @@ def _send_anchors(length: int, gram: int, parts: int):
     return run
 
 
-def _marks(doc: np.ndarray, version: np.ndarray, at: np.ndarray, parts: int = 1) -> pa.RecordBatch:
+def _marks(doc: np.ndarray, at: np.ndarray, parts: int = 1) -> pa.RecordBatch:
     """One row for each document, with all of its places."""
-    order = np.lexsort((at, version, doc))
-    doc, version, at = doc[order], version[order], at[order].astype(np.uint32)
-    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (version[1:] != version[:-1])]))
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order].astype(np.uint32)
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     ends = [*first[1:], len(doc)]
     n = len(first)
     none = pa.nulls(n, pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array((version[first] % parts).astype(np.int32)), none, none, none, binary([at[a:b].tobytes() for a, b in zip(first, ends)]), pa.array(doc[first]), pa.array(version[first])], names=["part", "hashes", "sides", "docs", "places", "doc_id", "version"])
+    return pa.RecordBatch.from_arrays([pa.array((doc[first] % parts).astype(np.int32)), none, none, none, binary([at[a:b].tobytes() for a, b in zip(first, ends)]), pa.array(doc[first])], names=["part", "hashes", "sides", "docs", "places", "doc_id"])
 
 
 def _mark(table: pd.DataFrame) -> pd.DataFrame:
-    ready = table[table["hashes"].isna()][["doc_id", "version", "places"]]
+    ready = table[table["hashes"].isna()][["doc_id", "places"]]
     table = table[table["hashes"].notna()]
     if not len(table):
         return ready
     hashed = np.concatenate([np.frombuffer(x, np.uint64) for x in table["hashes"]])
     left, right, forced = np.concatenate([np.frombuffer(x, np.uint16).reshape(3, -1) for x in table["sides"]], axis=1)
-    doc, version = np.concatenate([np.frombuffer(x, np.int64).reshape(2, -1) for x in table["docs"]], axis=1)
+    doc = np.concatenate([np.frombuffer(x, np.int64) for x in table["docs"]])
     at = np.concatenate([np.frombuffer(x, np.uint32) for x in table["places"]])
     order = np.argsort(hashed, kind="stable")
     group = np.empty(len(order), np.int64)
@@ -173,15 +172,15 @@ def _mark(table: pd.DataFrame) -> pd.DataFrame:
     i = np.flatnonzero((marked | hot[group]) & (forced == 0))
     if not len(i):
         return ready
-    got = _marks(doc[i], version[i], at[i])
-    return pd.concat([ready, pd.DataFrame({"doc_id": got.column(5).to_numpy(), "version": got.column(6).to_numpy(), "places": got.column(4).to_pylist()})])
+    got = _marks(doc[i], at[i])
+    return pd.concat([ready, pd.DataFrame({"doc_id": got.column(5).to_numpy(), "places": got.column(4).to_pylist()})])
 
 
-def _runs(doc: np.ndarray, version: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+def _runs(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
     """Ranges merged where they overlap or touch, in the order of document and start."""
-    order = np.lexsort((start, version, doc))
-    doc, version, start, end = doc[order], version[order], start[order], end[order]
-    fresh = np.concatenate([[True], (doc[1:] != doc[:-1]) | (version[1:] != version[:-1])]) if len(doc) else np.zeros(0, bool)
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], end[order]
+    fresh = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
     which = np.cumsum(fresh)
     shift = which.astype(np.int64) << 33
     reach = np.maximum.accumulate(end + shift) if len(doc) else end
@@ -189,26 +188,26 @@ def _runs(doc: np.ndarray, version: np.ndarray, start: np.ndarray, end: np.ndarr
     opens[1:] |= start[1:] + shift[1:] > reach[:-1]
     first = np.flatnonzero(opens)
     last = np.concatenate([first[1:], [len(doc)]])[: len(first)] - 1
-    return doc[first], version[first], start[first], (reach - shift)[last] if len(first) else end[:0]
+    return doc[first], start[first], (reach - shift)[last] if len(first) else end[:0]
 
 
-_CONTEXTS = "part int, hashes binary, texts binary, lengths binary, rules binary, docs binary, doc_id long, version long, spans binary"
+_CONTEXTS = "part int, hashes binary, texts binary, lengths binary, rules binary, docs binary, doc_id long, spans binary"
 _NAMES = [x.split()[0] for x in _CONTEXTS.split(", ")]
 
 
-def _spans(doc: np.ndarray, version: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    doc, version, start, end = _runs(doc, version, start, end)
-    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (version[1:] != version[:-1])])) if len(doc) else np.zeros(0, np.int64)
+def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    doc, start, end = _runs(doc, start, end)
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
     ends = [*first[1:], len(doc)]
-    return doc[first], version[first], [np.stack([start[a:b], end[a:b]]).astype(np.int64).tobytes() for a, b in zip(first, ends)]
+    return doc[first], [np.stack([start[a:b], end[a:b]]).astype(np.int64).tobytes() for a, b in zip(first, ends)]
 
 
 def _send_contexts(length: int, gram: int, parts: int):
     def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if not rows:
             return
-        hashed, key, doc, version, place, size = (np.concatenate(x) for x in list(zip(*rows))[:6])
-        data = np.concatenate([x[6] for x in rows])
+        hashed, key, doc, place, size = (np.concatenate(x) for x in list(zip(*rows))[:5])
+        data = np.concatenate([x[5] for x in rows])
         begin = np.cumsum(size) - size
         order = np.lexsort((doc, key[:, 1], key[:, 0], hashed))
         lead = np.concatenate([[True], (key[order][1:] != key[order][:-1]).any(1) | (hashed[order][1:] != hashed[order][:-1])])
@@ -217,10 +216,10 @@ def _send_contexts(length: int, gram: int, parts: int):
         later = doc[order] > doc[order][head]
         i = order[later]
         if len(i):
-            docs, versions, spans = _spans(doc[i], version[i], place[i], place[i] + size[i])
+            docs, spans = _spans(doc[i], place[i], place[i] + size[i])
             n = len(docs)
             none = pa.nulls(n, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array((versions % parts).astype(np.int32)), none, none, none, none, none, pa.array(docs), pa.array(versions), binary(spans)], names=_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array((docs % parts).astype(np.int32)), none, none, none, none, none, pa.array(docs), binary(spans)], names=_NAMES)
         i = order[~later]
         part = (hashed[i] % np.uint64(parts)).astype(np.int64)
         i = i[np.argsort(part, kind="stable")]
@@ -229,20 +228,19 @@ def _send_contexts(length: int, gram: int, parts: int):
         for p in range(parts):
             j = i[bounds[p] : bounds[p + 1]]
             if len(j):
-                for to, x in zip(blobs, (p, hashed[j].tobytes(), data[spread(begin[j], size[j])].tobytes(), size[j].astype(np.uint16).tobytes(), place[j].astype(np.uint32).tobytes(), np.stack([doc[j], version[j]]).tobytes())):
+                for to, x in zip(blobs, (p, hashed[j].tobytes(), data[spread(begin[j], size[j])].tobytes(), size[j].astype(np.uint16).tobytes(), place[j].astype(np.uint32).tobytes(), doc[j].tobytes())):
                     to.append(x)
         n = len(blobs[0])
         if n:
-            zero = pa.array(np.zeros(n, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(blobs[0], pa.int32()), *map(binary, blobs[1:]), zero, zero, pa.nulls(n, pa.binary())], names=_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(blobs[0], pa.int32()), *map(binary, blobs[1:]), pa.array(np.zeros(n, np.int64)), pa.nulls(n, pa.binary())], names=_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held = 0
         for whole in batches:
             for batch in slices(whole, "text"):
-                data, offsets = block(batch.column(2))
-                got = [np.frombuffer(b"".join(x), np.uint32) for x in batch.column(3).to_pylist()]
+                data, offsets = block(batch.column(1))
+                got = [np.frombuffer(b"".join(x), np.uint32) for x in batch.column(2).to_pylist()]
                 row = np.repeat(np.arange(len(got)), [len(x) for x in got])
                 at = np.concatenate(got).astype(np.int64) + offsets[row]
                 at, keep = np.unique(at, return_index=True)
@@ -252,7 +250,7 @@ def _send_contexts(length: int, gram: int, parts: int):
                 found = Anchors(data, offsets, length, gram)
                 first, last = found.rule(at)
                 size = last + length - first
-                rows.append((found.hash[at], digests(data, first, first + size), batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row], first - offsets[row], size, data[spread(first, size)]))
+                rows.append((found.hash[at], digests(data, first, first + size), batch.column(0).to_numpy()[row], first - offsets[row], size, data[spread(first, size)]))
                 held += int(size.sum())
                 if held > FLUSH:
                     yield from out(rows)
@@ -311,14 +309,14 @@ def intervals(text: np.ndarray, stop: np.ndarray, length: int) -> np.ndarray:
 
 def _expand(length: int, most: int = 1 << 18):
     def run(table: pd.DataFrame) -> pd.DataFrame:
-        ready = table[table["hashes"].isna()][["doc_id", "version", "spans"]]
+        ready = table[table["hashes"].isna()][["doc_id", "spans"]]
         table = table[table["hashes"].notna()]
         if not len(table):
             return ready
         hashed = np.concatenate([np.frombuffer(x, np.uint64) for x in table["hashes"]])
         size = np.concatenate([np.frombuffer(x, np.uint16) for x in table["lengths"]]).astype(np.int64)
         place = np.concatenate([np.frombuffer(x, np.uint32) for x in table["rules"]]).astype(np.int64)
-        doc, version = np.concatenate([np.frombuffer(x, np.int64).reshape(2, -1) for x in table["docs"]], axis=1)
+        doc = np.concatenate([np.frombuffer(x, np.int64) for x in table["docs"]])
         data = np.frombuffer(b"".join(table["texts"]), np.uint8)
         start = np.cumsum(size) - size
         key = digests(data, start, start + size)
@@ -356,15 +354,15 @@ def _expand(length: int, most: int = 1 << 18):
         found = first[window] < doc[owner]
         owner, offset = owner[found], (window - np.repeat(begins[context], n))[found]
         s = place[owner] + offset
-        d, v, spans = _spans(doc[owner], version[owner], s, s + length)
-        return pd.concat([ready, pd.DataFrame({"doc_id": d, "version": v, "spans": spans})])
+        d, spans = _spans(doc[owner], s, s + length)
+        return pd.concat([ready, pd.DataFrame({"doc_id": d, "spans": spans})])
 
     return run
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, all_spans = batch.column(2), batch.column(3)
+        texts, all_spans = batch.column(1), batch.column(2)
         kept, spans, sizes = [], [], []
         for i in range(batch.num_rows):
             raw = texts[i].as_buffer().to_pybytes() if hasattr(texts[i], "as_buffer") else texts[i].as_py()
@@ -376,7 +374,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             got = np.concatenate([np.frombuffer(x, np.int64).reshape(2, -1) for x in ranges], axis=1)
             zero = np.zeros(got.shape[1], np.int64)
-            _, _, start, end = _runs(zero, zero, got[0], got[1])
+            _, start, end = _runs(zero, got[0], got[1])
             edges = np.concatenate([[0], np.stack([start, end], 1).ravel(), [len(raw)]])
             kept.append(b"".join(raw[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2)))
             spans.append([{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist())])
@@ -392,20 +390,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     docs has doc_id and text; other columns are not read. Returns doc_id, n_bytes, spans (the removed byte ranges),
     kept (the remaining bytes, which may be cut inside a character), kept_sha256. A null text counts as empty; texts
     under `length` bytes stay whole. Rows of one doc_id are never compared with each other, so repeated rows give equal
-    results. A row whose doc_id is null takes part in no match and stays whole. An empty table gives no rows.
+    results; rows of one doc_id with different texts stay whole and take part in no match. A row whose doc_id is null takes part in no match and stays whole. An empty table gives no rows.
     """
     spark = docs.sparkSession
     parts = 4 * partitions(spark)
-    texts = id_and_text(docs).select("doc_id", F.xxhash64("text").alias("version"), "text")
-    numbered = texts.where("doc_id is not null")
-    schema = "part int, hashes binary, sides binary, docs binary, places binary, doc_id long, version long"
-    sent = numbered.mapInArrow(_send_anchors(length, gram, parts), schema)
-    marks = sent.groupBy("part").applyInPandas(_mark, "doc_id long, version long, places binary")
-    by_doc = materialize(marks.groupBy("doc_id", "version").agg(F.collect_list("places").alias("places")), "marks")
-    marked = numbered.dropDuplicates(["doc_id", "version"]).join(by_doc, ["doc_id", "version"]).select("doc_id", "version", "text", "places")
-    spans = marked.mapInArrow(_send_contexts(length, gram, parts), _CONTEXTS).groupBy("part").applyInPandas(_expand(length), "doc_id long, version long, spans binary")
-    of_doc = materialize(spans.groupBy("doc_id", "version").agg(F.collect_list("spans").alias("spans")), "spans")
-    joined = texts.join(of_doc, ["doc_id", "version"], "left").select("doc_id", "version", F.col("text").cast("binary").alias("text"), "spans")
+    texts = id_and_text(docs)
+    several = texts.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b")).where("a <> b").select("doc_id")
+    numbered = texts.where("doc_id is not null").join(materialize(several, "several"), "doc_id", "left_anti")
+    sent = numbered.mapInArrow(_send_anchors(length, gram, parts), "part int, hashes binary, sides binary, docs binary, places binary, doc_id long")
+    marks = sent.groupBy("part").applyInPandas(_mark, "doc_id long, places binary")
+    by_doc = materialize(marks.groupBy("doc_id").agg(F.collect_list("places").alias("places")), "marks")
+    marked = numbered.join(by_doc, "doc_id").select("doc_id", "text", "places")
+    spans = marked.mapInArrow(_send_contexts(length, gram, parts), _CONTEXTS).groupBy("part").applyInPandas(_expand(length), "doc_id long, spans binary")
+    of_doc = materialize(spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans")), "spans")
+    joined = texts.join(of_doc, "doc_id", "left").select("doc_id", F.col("text").cast("binary").alias("text"), "spans")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, kept_sha256 string")
 
 
