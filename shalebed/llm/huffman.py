@@ -25,7 +25,7 @@ from shalebed.llm.common import binary, block, id_and_text, materialize, partiti
 #: Ids of a block, which is decoded on its own, and of a part.
 BLOCK, PART = 512, 1 << 20
 #: Distinct text units whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 700_000
 #: Where a blank between two others would join them in one run of white space.
 _JOINED = re.compile(r"\s (?:\s|\Z)")
 
@@ -80,28 +80,33 @@ class Encoder:
         new = list(itertools.islice(self.units, self.known, None))
         if not new:
             return
-        size, ids = np.zeros(len(new), np.int64), [np.zeros(0, np.uint32)] * len(new)
         # Units that begin with a blank and another character split off by themselves, so many go to the library at once.
         joined = [k for k, x in enumerate(new) if len(x) > 1 and x[0] == " " and not x[1].isspace()]
         alone = set(range(len(new))).difference(joined)
+        of, sizes, got = [], [], []
         for at in range(0, len(joined), 20_000):
             part = joined[at : at + 20_000]
-            got = np.array(self.tokenizer.encode_batch_fast(["".join([new[k] for k in part])], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join([new[k] for k in part])], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.cumsum(np.fromiter((len(new[k].encode()) for k in part), np.int64, len(part)))
-            reach = np.cumsum(self.width[got])
+            reach = np.cumsum(self.width[ids])
             to = np.searchsorted(reach, ends) + 1
-            if to[-1] == len(got) and (reach[to - 1] == ends).all():
-                begin = np.concatenate([[0], to[:-1]])
-                size[part] = to - begin
-                for k, a, b in zip(part, begin.tolist(), to.tolist()):
-                    ids[k] = got[a:b]
+            if to[-1] == len(ids) and (reach[to - 1] == ends).all():
+                of.append(np.array(part))
+                sizes.append(np.diff(to, prepend=0))
+                got.append(ids)
             else:
                 alone.update(part)
-        for k, x in zip(sorted(alone), self.tokenizer.encode_batch_fast([new[k] for k in sorted(alone)], add_special_tokens=False)):
-            ids[k] = np.array(x.ids, np.uint32)
-            size[k] = len(ids[k])
-        self.size = np.concatenate([self.size, size])
-        self.ids = np.concatenate([self.ids, *ids])
+        rest = sorted(alone)
+        each = [x.ids for x in self.tokenizer.encode_batch_fast([new[k] for k in rest], add_special_tokens=False)]
+        of.append(np.array(rest, np.int64))
+        sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
+        got.append(np.fromiter(itertools.chain.from_iterable(each), np.uint32))
+        # They come in another order than their numbers.
+        by = np.argsort(np.concatenate(of))
+        size = np.concatenate(sizes)
+        begin = np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, np.concatenate(got)[spread(begin[by], size[by])]])
+        self.size = np.concatenate([self.size, size[by]])
         self.known = len(self.units)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
