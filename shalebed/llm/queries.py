@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shalebed.llm import chunks, huffman, minhash, suffix
+from shalebed.llm import chunks, huffman, imatch, lattice, minhash, mixing, quality, suffix
 from shalebed.llm.common import documents
 
 
@@ -17,10 +17,27 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "spans", "text", "kept_sha256")
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(documents(spark, sf_dir))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.summary(suffix.remove_repeats(documents(spark, sf_dir)))
 
@@ -36,7 +53,11 @@ def op10_token_id_files(spark: SparkSession, sf_dir: str, tokenizer: str | None
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_mix_sources": op3_mix_sources,
+    "op4_document_fingerprints": op4_document_fingerprints,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_token_id_files": op10_token_id_files,
 }
