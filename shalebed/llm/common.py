@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,6 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH = 1024
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE2 = 0xD1342543DE82EF95 | 1
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -38,16 +38,17 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: a cut of the lineage that outlives executors.
 
-    Shuffle files of the finished job are then garbage; the collection lets Spark's cleaner delete them.
+    The shuffle files of the finished job are deleted, for nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    had = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, had)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

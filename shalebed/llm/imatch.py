@@ -1,4 +1,8 @@
-"""I-Match fingerprints: hashes of randomised subsets of the lexicon's terms that a text has."""
+"""I-Match fingerprints: hashes of randomised subsets of the lexicon's terms that a text has.
+
+A fingerprint is a row of pieces, one for each subset of whose terms the text has some: two digits for the subset and
+four of the hash of its sorted distinct terms. The terms of a text are never gathered in one row, only each subset's.
+"""
 
 from __future__ import annotations
 
@@ -31,25 +35,11 @@ def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHAR
     return materialize(counted.where((F.col("df") >= max(2, least * n)) & (F.col("df") <= max(2, most * n))).select("term"), "lexicon")
 
 
-def fingerprint(found: Column) -> Column:
-    """64 hashes of 4 digits, one for each subset, of its sorted terms; dots where the text has none of its terms."""
-    ordered = F.array_sort(found)
-    tagged = F.transform(ordered, lambda t: F.struct(F.pmod(F.xxhash64(t, F.lit(41)), F.lit(SUBSETS)).cast("int").alias("a"), t.alias("t")))
-
-    def one(j: Column) -> Column:
-        mine = F.array_join(F.transform(F.filter(tagged, lambda x: x["a"] == j), lambda x: x["t"]), " ")
-        return F.when(mine == "", F.lit("....")).otherwise(F.substring(F.md5(mine), 1, 4))
-
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one), "")
-
-
 def likeness(a: Column, b: Column) -> Column:
     """The share of equal hashes among the subsets of which either text has terms; 1 if neither has any."""
-    spots = F.sequence(F.lit(0), F.lit(SUBSETS - 1))
-    at = lambda s, j: F.substring(s, j * 4 + 1, F.lit(4))
-    either = F.size(F.filter(spots, lambda j: (at(a, j) != "....") | (at(b, j) != "....")))
-    same = F.size(F.filter(spots, lambda j: (at(a, j) != "....") & (at(a, j) == at(b, j))))
-    return F.when(either == 0, F.lit(1.0)).otherwise(same / either)
+    subsets = lambda x: F.transform(x, lambda p: F.substring(p, 1, 2))
+    either = F.size(F.array_union(subsets(a), subsets(b)))
+    return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
 def _buckets(docs: DataFrame) -> Column:
@@ -77,7 +67,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     docs has doc_id and text; other columns are not read. The next document is the one of the next smaller doc_id, equal
     ids by text, nulls last; after the last comes the first, so a single document is its own next. A null text counts as
     empty. Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Texts
-    without a term of the lexicon have a fingerprint of dots. An empty table gives no rows.
+    without a term of the lexicon have an empty fingerprint. An empty table gives no rows.
     """
     chosen = lexicon(docs)
     chosen = chosen.unionByName(docs.sparkSession.createDataFrame([("",)], "term string"))
@@ -96,12 +86,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     other = F.coalesce("next", "edge")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(other, F.lit(1), half))
     both = lined.join(edge, "bucket").select("bucket", "row", "rows", "below", "doc_id", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited")).withColumn("edited_sha256", F.sha2("edited", 256))
-    kinds = both.withColumn("kind", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("text").alias("t")), F.struct(F.lit(1).alias("k"), F.col("edited").alias("t"))))).select("bucket", "row", "rows", "below", "doc_id", "n_chars", "edited_sha256", F.col("kind.k").alias("k"), F.explode(F.concat(F.array(F.lit("")), terms(F.col("kind.t")))).alias("term"))
-    keys = ["bucket", "row", "rows", "below", "doc_id", "n_chars", "edited_sha256"]
-    some = lambda k: F.collect_list(F.when((F.col("k") == k) & (F.col("term") != ""), F.col("term")))
-    grouped = kinds.join(chosen, "term").groupBy(*keys).agg(some(0).alias("mine"), some(1).alias("theirs"))
-    done = materialize(grouped.select(*keys, fingerprint(F.col("mine")).alias("fingerprint"), fingerprint(F.col("theirs")).alias("edited_fingerprint")), "fingerprints")
+    both = both.withColumn("about", F.struct("rows", "below", "doc_id", "n_chars", "edited_sha256"))
+    kinds = both.select("bucket", "row", "about", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("text").alias("t")), F.struct(F.lit(1).alias("k"), F.col("edited").alias("t")))).alias("kind"))
+    # One row of each text has the empty term, which carries what is known about the document.
+    each = kinds.select("bucket", "row", "about", F.col("kind.k").alias("k"), F.explode(F.concat(F.array(F.lit("")), terms(F.col("kind.t")))).alias("term")).select("bucket", "row", "k", "term", F.when((F.col("term") == "") & (F.col("k") == 0), F.col("about")).alias("about"))
+    hashed = each.join(chosen, "term").select("bucket", "row", "k", F.when(F.col("term") != "", F.pmod(F.xxhash64("term", F.lit(41)), F.lit(SUBSETS)).cast("int")).otherwise(-1).alias("subset"), F.xxhash64("term").alias("term"), "about")
+    by_subset = hashed.groupBy("bucket", "row", "k", "subset").agg(F.xxhash64(F.array_sort(F.collect_list("term"))).alias("hash"), F.first("about", ignorenulls=True).alias("about"))
+    piece = F.concat(F.lpad(F.lower(F.hex("subset")), 2, "0"), F.substring(F.lower(F.lpad(F.hex("hash"), 16, "0")), 13, 4))
+    some = lambda k: F.array_sort(F.collect_list(F.when((F.col("k") == k) & (F.col("subset") >= 0), piece)))
+    grouped = by_subset.groupBy("bucket", "row").agg(some(0).alias("mine"), some(1).alias("theirs"), F.first("about", ignorenulls=True).alias("about"))
+    done = materialize(grouped.select("bucket", "row", "about.*", "mine", "theirs"), "fingerprints")
     inside = F.col("row") < F.col("rows")
     asked = done.withColumn("to_bucket", F.when(inside, F.col("bucket")).otherwise(F.col("below"))).withColumn("to_row", F.when(inside, F.col("row") + 1).otherwise(1))
-    nexts = done.select(F.col("bucket").alias("to_bucket"), F.col("row").alias("to_row"), F.col("fingerprint").alias("following"))
-    return asked.join(nexts, ["to_bucket", "to_row"]).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("following")).alias("near_next"))
+    nexts = done.select(F.col("bucket").alias("to_bucket"), F.col("row").alias("to_row"), F.col("mine").alias("following"))
+    return asked.join(nexts, ["to_bucket", "to_row"]).select(
+        "doc_id", "n_chars", "edited_sha256", F.array_join("mine", "").alias("fingerprint"), F.array_join("theirs", "").alias("edited_fingerprint"),
+        likeness(F.col("mine"), F.col("theirs")).alias("near_edited"), likeness(F.col("mine"), F.col("following")).alias("near_next"),
+    )
