@@ -1,8 +1,7 @@
 """I-Match fingerprints: hashes of randomised subsets of the lexicon's terms that a text has.
 
 A fingerprint is a row of pieces, one for each subset of whose terms the text has some: two digits for the subset and
-four of the hash of its sorted distinct terms. The terms of a text are never gathered in one row, only each subset's.
-"""
+four of the hash of its sorted distinct terms. """
 
 from __future__ import annotations
 
@@ -42,6 +41,27 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
+def _starts(numbers: Column) -> Column:
+    """Where in sorted numbers of terms each subset begins."""
+    subset = lambda i: F.shiftright(F.get(numbers, i), 52)
+    last = F.size(numbers) - 1
+    return F.when(last < 0, F.array().cast("array<int>")).otherwise(F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: (i == 0) | (subset(i) != subset(i - 1))))
+
+
+def _pieces(numbers: Column, starts: Column) -> Column:
+    def piece(i: Column, k: Column) -> Column:
+        end = F.coalesce(F.get(starts, k + 1), F.size(numbers))
+        hashed = F.lower(F.lpad(F.hex(F.xxhash64(F.slice(numbers, i + 1, end - i))), 16, "0"))
+        return F.concat(F.lpad(F.lower(F.hex(F.shiftright(F.get(numbers, i), 52))), 2, "0"), F.substring(hashed, 13, 4))
+
+    return F.transform(starts, piece)
+
+
+def _once(df: DataFrame, name: str, **columns: Column) -> DataFrame:
+    """df with a struct of columns that is computed once a row; plain columns would be copied into the functions that use them."""
+    return df.withColumn(name, F.explode(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
+
+
 def _buckets(docs: DataFrame) -> Column:
     """A number for each range of doc_id, higher for higher ids, 0 for null; ranges of about equal size."""
     n = 4 * partitions(docs.sparkSession)
@@ -90,11 +110,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     kinds = both.select("bucket", "row", "about", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("text").alias("t")), F.struct(F.lit(1).alias("k"), F.col("edited").alias("t")))).alias("kind"))
     # One row of each text has the empty term, which carries what is known about the document.
     each = kinds.select("bucket", "row", "about", F.col("kind.k").alias("k"), F.explode(F.concat(F.array(F.lit("")), terms(F.col("kind.t")))).alias("term")).select("bucket", "row", "k", "term", F.when((F.col("term") == "") & (F.col("k") == 0), F.col("about")).alias("about"))
-    hashed = each.join(chosen, "term").select("bucket", "row", "k", F.when(F.col("term") != "", F.pmod(F.xxhash64("term", F.lit(41)), F.lit(SUBSETS)).cast("int")).otherwise(-1).alias("subset"), F.xxhash64("term").alias("term"), "about")
-    by_subset = hashed.groupBy("bucket", "row", "k", "subset").agg(F.xxhash64(F.array_sort(F.collect_list("term"))).alias("hash"), F.first("about", ignorenulls=True).alias("about"))
-    piece = F.concat(F.lpad(F.lower(F.hex("subset")), 2, "0"), F.substring(F.lower(F.lpad(F.hex("hash"), 16, "0")), 13, 4))
-    some = lambda k: F.array_sort(F.collect_list(F.when((F.col("k") == k) & (F.col("subset") >= 0), piece)))
-    grouped = by_subset.groupBy("bucket", "row").agg(some(0).alias("mine"), some(1).alias("theirs"), F.first("about", ignorenulls=True).alias("about"))
+    # A term as one number: its subset, then 52 bits of its hash.
+    number = F.pmod(F.xxhash64("term", F.lit(41)), F.lit(SUBSETS)) * F.lit(1 << 52) + F.pmod(F.xxhash64("term"), F.lit(1 << 52))
+    hashed = each.join(chosen, "term").select("bucket", "row", "k", F.when(F.col("term") != "", number).alias("n"), "about")
+    some = lambda k: F.sort_array(F.collect_list(F.when(F.col("k") == k, F.col("n"))))
+    grouped = hashed.groupBy("bucket", "row").agg(some(0).alias("mine"), some(1).alias("theirs"), F.first("about", ignorenulls=True).alias("about"))
+    grouped = _once(grouped, "a", mine=F.col("mine"), theirs=F.col("theirs"))
+    grouped = _once(grouped, "b", mine=_starts(F.col("a.mine")), theirs=_starts(F.col("a.theirs")))
+    grouped = grouped.select("bucket", "row", "about", _pieces(F.col("a.mine"), F.col("b.mine")).alias("mine"), _pieces(F.col("a.theirs"), F.col("b.theirs")).alias("theirs"))
     done = materialize(grouped.select("bucket", "row", "about.*", "mine", "theirs"), "fingerprints")
     inside = F.col("row") < F.col("rows")
     asked = done.withColumn("to_bucket", F.when(inside, F.col("bucket")).otherwise(F.col("below"))).withColumn("to_row", F.when(inside, F.col("row") + 1).otherwise(1))
