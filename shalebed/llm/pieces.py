@@ -21,7 +21,7 @@ SAMPLES, ALPHA = 2, 0.5
 BLANK = "▁"
 _BLANK = BLANK.encode()
 #: Units whose lattices a worker remembers, and rows done at once.
-REMEMBERED, ROWS = 60_000, 512
+REMEMBERED, ROWS = 160_000, 512
 _UNIT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,13 +62,15 @@ class Pieces:
                 raw[i], self.byte[value] = bytes([value]), i
         self.size = np.array([len(x) for x in raw], np.int64)
         self.bytes, self.begin = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(self.size) - self.size
-        self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.by_size: dict[int, tuple[np.ndarray, ...]] = {}
         for size in np.unique(self.size[plain]).tolist():
             ids = np.array([i for i in plain if self.size[i] == size])
             data = np.frombuffer(b"".join(raw[i] for i in ids), np.uint8)
             hashed = Rolling(data).of(np.arange(len(ids)) * size, np.arange(1, len(ids) + 1) * size)
             order = np.argsort(hashed)
-            self.by_size[size] = (hashed[order], ids[order])
+            maybe = np.zeros(1 << 16, bool)  # by the hash's first 16 bits
+            maybe[hashed >> np.uint64(48)] = True
+            self.by_size[size] = (hashed[order], ids[order], maybe)
         self._clear()
 
     def _clear(self) -> None:
@@ -79,6 +81,29 @@ class Pieces:
         self.edge_id, self.edge_size = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.edge_log = np.zeros(0)
         self.last = np.zeros(0, bool)  # of each place: a unit ends here
+        self.first = np.zeros(0, np.int64)  # of each place: its first edge
+        self.used = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the units met more than once since the last time, at most half as many as may be."""
+        keep = np.flatnonzero(self.used > 1)
+        if 2 * len(keep) > REMEMBERED:
+            keep = np.sort(keep[np.argsort(-self.used[keep], kind="stable")[: REMEMBERED // 2]])
+        names = list(self.numbers)
+        stop = np.append(self.start, self.places)
+        size = stop[keep + 1] - stop[keep]
+        first = np.searchsorted(self.key, stop[keep], side="right")
+        count = np.searchsorted(self.key, stop[keep + 1], side="right") - first
+        edges, places = spread(first, count), spread(stop[keep], size)
+        begin = np.cumsum(size) - size
+        key = self.key[edges] + np.repeat(begin - stop[keep], count)
+        kept = begin, int(size.sum()), key, self.edge_id[edges], self.edge_size[edges], self.edge_log[edges], self.last[places]
+        self._clear()
+        self.start, self.places, self.key, self.edge_id, self.edge_size, self.edge_log, self.last = kept
+        for k in keep.tolist():
+            self.numbers[names[k]]  # numbers it
+        self.used = np.zeros(len(keep), np.int64)
+        self.first = np.searchsorted(self.key, np.arange(self.places), side="right")
 
     def learn(self) -> None:
         known = len(self.start)
@@ -96,9 +121,13 @@ class Pieces:
         lead = (data & 0xC0) != 0x80
         char = np.select([data < 0x80, data < 0xE0, data < 0xF0], [1, 2, 3], 4)
         known_char = np.zeros(len(data), bool)
-        for n, (hashed, ids) in self.by_size.items():
+        for n, (hashed, ids, maybe) in self.by_size.items():
             at = spot[lead & (spot + n <= end)]
             h = rolling.of(at, at + n)
+            some = maybe[h >> np.uint64(48)]
+            at, h = at[some], h[some]
+            if not len(at):
+                continue
             k = np.minimum(np.searchsorted(hashed, h), len(hashed) - 1)
             hit = hashed[k] == h
             at_all.append(at[hit])
@@ -133,7 +162,7 @@ class Pieces:
             total[p[first]] = np.where(np.isfinite(most), sums, -np.inf)
             log[a:b] = value - np.repeat(np.where(np.isfinite(sums), sums, 0), count)
         good = np.isfinite(log)
-        order = np.argsort(place[good], kind="stable")
+        order = np.lexsort((-log[good], place[good]))  # the likeliest first
         place, size_, ids, log = place[good][order], size_[good][order], ids[good][order], np.minimum(log[good][order], 0)
         chance = np.exp(log)
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
@@ -143,17 +172,19 @@ class Pieces:
         within /= np.repeat(within[first + count - 1], count)
         last = np.zeros(len(data) + len(new), bool)
         last[stop + np.arange(len(new))] = True
+        had = len(self.key)
         self.start = np.concatenate([self.start, self.places + stop - size + np.arange(len(new))])
         self.key = np.concatenate([self.key, self.places + place + within])
         self.edge_id, self.edge_size = np.concatenate([self.edge_id, ids.astype(np.int32)]), np.concatenate([self.edge_size, size_.astype(np.int32)])
         self.edge_log = np.concatenate([self.edge_log, log])
         self.last = np.concatenate([self.last, last])
+        self.first = np.concatenate([self.first, had + np.searchsorted(place, np.arange(len(last)))])
         self.places += len(data) + len(new)
 
     def units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the units of all texts, and how many each text has."""
         if len(self.numbers) > REMEMBERED:
-            self._clear()
+            self._forget()
         flat: list[int] = []
         count = []
         number = self.numbers.__getitem__
@@ -177,7 +208,11 @@ class Pieces:
                     flat.extend(map(number, [BLANK + p for p in parts[1:]]))
             count.append(len(flat) - had)
         self.learn()
-        return np.array(flat, np.int64), np.array(count, np.int64)
+        unit = np.array(flat, np.int64)
+        used = np.bincount(unit, minlength=len(self.start))
+        used[: len(self.used)] += self.used
+        self.used = used
+        return unit, np.array(count, np.int64)
 
     def walk(self, start: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Random paths from each start to the end of its unit: the edges, walk after walk, and how many each walk has."""
@@ -186,7 +221,12 @@ class Pieces:
         live = ~self.last[now]
         now, who = now[live], who[live]
         while len(now):
-            edge = np.searchsorted(self.key, now + _uniform(key[who] + np.uint64(step)) * (1 - 1e-9), side="left")
+            aim = now + _uniform(key[who] + np.uint64(step)) * (1 - 1e-9)
+            edge = self.first[now]
+            beyond = np.flatnonzero(self.key[edge] < aim)
+            while len(beyond):
+                edge[beyond] += 1
+                beyond = beyond[self.key[edge[beyond]] < aim[beyond]]
             walks.append(who)
             edges.append(edge)
             now = now + self.edge_size[edge]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shalebed.llm import chunks, huffman, imatch, lattice, minhash, mixing, quality, suffix
+from shalebed.llm import chunks, huffman, imatch, lattice, minhash, mixing, pieces, quality, suffix
 from shalebed.llm.common import documents
 
 
@@ -33,6 +33,15 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op7_sentencepiece_sampling(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    if model is None:
+        import public_tokenizers
+
+        model = public_tokenizers.path("piece_bpe_32k.model")
+    found = pieces.sample_segmentations(documents(spark, sf_dir), model)
+    return found.select("doc_id", "rank", "n_tokens", "log_prob", "perturbed", "inclusion", F.crc32("ids").alias("ids_crc32"), "round_trip")
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality.score(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -57,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_document_fingerprints": op4_document_fingerprints,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
+    "op7_sentencepiece_sampling": op7_sentencepiece_sampling,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_token_id_files": op10_token_id_files,
