@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shalebed.llm import chunks, huffman, imatch, lattice, minhash, mixing, pieces, quality, suffix
+from shalebed.llm import chunks, huffman, imatch, lattice, maxent, minhash, mixing, pieces, quality, suffix
 from shalebed.llm.common import documents
 
 
@@ -17,6 +17,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "spans", "text", "kept_sha256")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score_documents(documents(spark, sf_dir))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -62,6 +66,7 @@ def op10_token_id_files(spark: SparkSession, sf_dir: str, tokenizer: str | None
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_mix_sources": op3_mix_sources,
     "op4_document_fingerprints": op4_document_fingerprints,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
