@@ -268,6 +268,7 @@ def suffix_order(text: np.ndarray, stop: np.ndarray) -> np.ndarray:
     place = np.arange(n)
     for k in range(8):
         key = (key << np.uint64(8)) | np.where(place + k < stop, padded[k : k + n], np.uint64(0))
+    del padded
     have, longest = 8, int((stop - place).max())
     while True:
         order = np.argsort(key)
@@ -307,6 +308,16 @@ def intervals(text: np.ndarray, stop: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def _slices(size: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about `most` bytes together."""
+    total = np.concatenate([[0], np.cumsum(size)])
+    at = 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + most, side="right")) - 1)
+        yield at, to
+        at = to
+
+
 def _expand(length: int, most: int = 1 << 18):
     def run(table: pd.DataFrame) -> pd.DataFrame:
         ready = table[table["hashes"].isna()][["doc_id", "spans"]]
@@ -319,7 +330,10 @@ def _expand(length: int, most: int = 1 << 18):
         doc = np.concatenate([np.frombuffer(x, np.int64) for x in table["docs"]])
         data = np.frombuffer(b"".join(table["texts"]), np.uint8)
         start = np.cumsum(size) - size
-        key = digests(data, start, start + size)
+        # A slice at a time, so the hash tables stay small.
+        key = np.empty((len(start), 2), np.uint64)
+        for a, b in _slices(size):
+            key[a:b] = digests(data[start[a] : start[b - 1] + size[b - 1]], start[a:b] - start[a], start[a:b] + size[a:b] - start[a])
         order = np.lexsort((doc, key[:, 1], key[:, 0], hashed))
         lead = np.concatenate([[True], (key[order][1:] != key[order][:-1]).any(1) | (hashed[order][1:] != hashed[order][:-1])])
         context = np.empty(len(order), np.int64)
@@ -393,7 +407,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     results; rows of one doc_id with different texts stay whole and take part in no match. A row whose doc_id is null takes part in no match and stays whole. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    parts = 4 * partitions(spark)
+    parts = 8 * partitions(spark)
     texts = id_and_text(docs)
     several = texts.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b")).where("a <> b").select("doc_id")
     numbered = texts.where("doc_id is not null").join(materialize(several, "several"), "doc_id", "left_anti")
