@@ -95,6 +95,8 @@ def _send_anchors(length: int, gram: int, parts: int):
         if not rows:
             return
         hashed, left, right, doc, at = (np.concatenate(x) for x in zip(*rows))
+        if not len(hashed):
+            return
         order = np.argsort(hashed, kind="stable")
         hashed, left, right, doc, at = (x[order] for x in (hashed, left, right, doc, at))
         group = np.cumsum(np.concatenate([[0], (hashed[1:] != hashed[:-1]).astype(np.int64)]))
