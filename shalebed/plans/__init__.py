@@ -1 +1,5 @@
+"""Queries over the driver's tables."""
 
+from shalebed.plans import catalog, queries
+
+__all__ = ["catalog", "queries"]
