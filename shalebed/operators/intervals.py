@@ -50,15 +50,33 @@ def difference(df: DataFrame, keys: list[str], left: str, right: str) -> DataFra
 
 
 def overlay(df: DataFrame, keys: list[str], priority: str, value: str) -> DataFrame:
-    """Disjoint ranges, each with the value of the covering interval of least priority; equal neighbours are merged."""
+    """Disjoint ranges, each with the value of the covering interval of least priority; equal neighbours are merged.
+
+    Elementary cells meet intervals within buckets about as wide as an interval is long: a cell is in the bucket of its
+    start, an interval in all that it meets, so a key with many intervals is no product of them.
+    """
+    held = df.where("start < end").select(*keys, "start", "end", priority, value)
+    width = max(1, int(held.agg(F.avg(F.col("end") - F.col("start"))).first()[0] or 1))
     points = endpoints(df, keys, n="true").select(*keys, "pos")
     line = W.partitionBy(*keys).orderBy("pos")
-    cells = points.select(*keys, F.col("pos").alias("s"), F.lead("pos").over(line).alias("e")).where("e is not null")
-    held = df.where("start < end").select(*keys, "start", "end", priority, value)
-    hit = cells.join(held, keys).where("start <= s and s < end").groupBy(*keys, F.col("s").alias("start"), F.col("e").alias("end")).agg(F.min_by(value, F.struct(priority, value)).alias(value))
+    cells = points.select(*keys, F.col("pos").alias("s"), F.lead("pos").over(line).alias("e")).where("e is not null").withColumn("_b", F.floor(F.col("s") / width))
+    listed = held.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))))
+    hit = cells.join(listed, [*keys, "_b"]).where("start <= s and s < end").groupBy(*keys, F.col("s").alias("start"), F.col("e").alias("end")).agg(F.min_by(value, F.struct(priority, value)).alias(value))
     return coalesce(hit, [*keys, value])
 
 
+def gaps(df: DataFrame, keys: list[str]) -> DataFrame:
+    """What lies between the coalesced intervals of a key."""
+    line = W.partitionBy(*keys).orderBy("start")
+    return coalesce(df, keys).select(*keys, F.col("end").alias("start"), F.lead("start").over(line).alias("end")).where("end is not null")
+
+
+def replay(log: DataFrame, keys: list[str], seq: str, op: str) -> DataFrame:
+    """Free ranges after a log of ALLOC and FREE ranges, however they overlap: at each place the last entry decides."""
+    last = log.withColumn("_p", -F.col(seq))
+    return overlay(last, keys, "_p", op).where(F.col(op) == "FREE").drop(op)
+
+
 def lookup(points: DataFrame, bands: DataFrame, at: str) -> DataFrame:
     """Each point with the band [lo, hi) that holds it; the bands are disjoint, so the last one that begins before it is the only candidate.
 
