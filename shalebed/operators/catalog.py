@@ -117,20 +117,33 @@ def refusals(catalog: DataFrame, holds: DataFrame, names: DataFrame) -> DataFram
 
     holds has (name, tag). A snapshot whose clones are all in names too is not refused for them.
     """
+    facts = _facts(catalog, holds, names).where("asked")
+    reasons = F.array(F.when(~F.col("present"), "missing"), F.when(F.col("held"), "held"), F.when(F.col("cloned"), "cloned"), F.when(F.col("full"), "has children"))
+    return facts.select("name", F.explode(F.array_compact(reasons)).alias("reason"))
+
+
+def _facts(catalog: DataFrame, holds: DataFrame, names: DataFrame) -> DataFrame:
+    """For each name: asked, present, held, cloned and full (has children), the last two by rows that are not asked for.
+
+    The catalog meets the names once; then all facts are one aggregation by name.
+    """
     asked = names.select("name").distinct()
-    missing = asked.join(catalog, "name", "left_anti").select("name", F.lit("missing").alias("reason"))
-    held = asked.join(holds, "name", "left_semi").select("name", F.lit("held").alias("reason"))
-    clones = catalog.where("origin is not null").select(F.col("origin").alias("name"), F.col("name").alias("_by")).join(asked.select(F.col("name").alias("_by")), "_by", "left_anti")
-    cloned = asked.join(clones, "name", "left_semi").select("name", F.lit("cloned").alias("reason"))
-    parent = F.when(F.col("kind") == "filesystem", F.when(F.col("name").contains("/"), F.regexp_replace("name", "/[^/]*$", ""))).otherwise(owner("name"))
-    inner = catalog.where("kind <> 'bookmark'").select("name", parent.alias("_in")).join(asked, "name", "left_anti").select(F.col("_in").alias("name"))
-    full = asked.join(inner, "name", "left_semi").select("name", F.lit("has children").alias("reason"))
-    return missing.unionByName(held).unionByName(cloned).unionByName(full)
+    rows = catalog.select("name", "kind", "origin").join(asked.withColumn("_asked", F.lit(True)), "name", "left")
+    stays = F.col("_asked").isNull()
+    parent = F.when(F.col("kind") == "filesystem", F.when(F.col("name").contains("/"), F.regexp_replace("name", "/[^/]*$", ""))).when(F.col("kind") == "snapshot", owner("name"))
+
+    def fact(name: Column | str, what: str) -> Column:
+        return F.struct((F.col(name) if isinstance(name, str) else name).alias("name"), F.lit(what).alias("what"))
+
+    own = rows.select(F.inline(F.array(fact("name", "present"), fact(F.when(stays, F.col("origin")), "cloned"), fact(F.when(stays, parent), "full"))))
+    every = own.unionByName(asked.withColumn("what", F.lit("asked"))).unionByName(holds.select("name", F.lit("held").alias("what")))
+    flags = [F.max(F.col("what") == w).alias(w) for w in ("asked", "present", "held", "cloned", "full")]
+    return every.where("name is not null").groupBy("name").agg(*flags)
 
 
 def destroy(catalog: DataFrame, holds: DataFrame, names: DataFrame) -> DataFrame:
     """The catalog without those of names that nothing refuses."""
-    gone = names.select("name").join(refusals(catalog, holds, names), "name", "left_anti")
+    gone = _facts(catalog, holds, names).where("asked and present and not (held or cloned or full)").select("name")
     return catalog.join(gone, "name", "left_anti").select(*COLUMNS)
 
 

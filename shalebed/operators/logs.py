@@ -34,11 +34,12 @@ def ring_next(events: DataFrame, eid: str, cursor: int, capacity: int, n: int) -
 def gather(requests: DataFrame, keys: list[str], gap: int, most: int) -> DataFrame:
     """keys, start, end and n: neighbours in order of start made one while the gap and the total stay within bounds.
 
-    A gap above the bound always ends a request, so each run without one is folded on its own.
+    A gap above the bound always ends a request, so runs between such gaps are independent: each task folds a share of
+    a key's runs.
     """
     line = W.partitionBy(*keys).orderBy("start", "end")
     reach = F.max("end").over(line.rowsBetween(W.unboundedPreceding, -1))
-    runs = requests.select(*keys, "start", "end").withColumn("_new", (reach.isNull() | (F.col("start") > reach + gap)).cast("int")).withColumn("_run", F.sum("_new").over(line)).drop("_new")
+    runs = requests.select(*keys, "start", "end").withColumn("_new", (reach.isNull() | (F.col("start") > reach + gap)).cast("int")).withColumn("_share", F.floor(F.sum("_new").over(line) / 4096)).drop("_new")
 
     def fold(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values(["start", "end"])
@@ -53,7 +54,7 @@ def gather(requests: DataFrame, keys: list[str], gap: int, most: int) -> DataFra
         return got.assign(**{k: t[k].iloc[0] for k in keys})[[*keys, "start", "end", "n"]]
 
     types = dict(requests.dtypes)
-    return runs.groupBy(*keys, "_run").applyInPandas(fold, ", ".join(f"{k} {types[k]}" for k in keys) + ", start long, end long, n long")
+    return runs.groupBy(*keys, "_share").applyInPandas(fold, ", ".join(f"{k} {types[k]}" for k in keys) + ", start long, end long, n long")
 
 
 def elevator(requests: DataFrame, offset: str, last: int) -> DataFrame:
