@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shalebed.functions import patterns, payloads
-from shalebed.operators import access, catalog, objects
+from shalebed.operators import access, catalog, objects, procedures
 from shalebed.plans.queries import _TREE, _tree, query
 
 
@@ -50,6 +50,17 @@ def catalog_promote(t):
     return catalog.promote(_catalog(t), "tank/s4")
 
 
+@query(
+    f"""WITH {_CAT}, p AS (SELECT CASE WHEN kind = 'snapshot' AND created <= 12 THEN 'tank/main' || substr(name, 9) WHEN name = 'tank/s4' THEN 'tank/main' ELSE name END AS name, kind, created,
+  CASE WHEN name = 'tank/s4' THEN NULL WHEN name = 'tank/all' THEN 'tank/main@c12' WHEN substr(origin, 11)::BIGINT <= 12 THEN 'tank/main' || substr(origin, 9) ELSE origin END AS origin FROM cat)
+SELECT * FROM p WHERE name <> 'tank/all@c14' UNION ALL SELECT 'tank/main@now', 'snapshot', 3000000, NULL"""
+)
+def procedure_run(t):
+    c = _catalog(t)
+    holds = c.where("name = 'tank/all@c20'").select("name", F.lit("keep").alias("tag"))
+    return procedures.run(c, holds, [("promote", "tank/s4"), ("rename", "tank/s4", "tank/main"), ("snapshot", "tank/main", "now", 3_000_000), ("destroy", "tank/all@c14")])
+
+
 @query(f"WITH {_CAT} SELECT name, kind, created, origin FROM cat WHERE kind <> 'snapshot' OR created <= 100")
 def catalog_rollback(t):
     return catalog.rollback(_catalog(t), "tank/all@c100")
