@@ -11,6 +11,8 @@ from shalebed.llm import minhash, mixing, pieces, quality, suffix
 from shalebed.llm.common import documents, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: The least similarity of near copies, in percent of word shingles; op5 has its own.
+NEAR = 80
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +23,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one of least doc_id."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    kept = minhash.near_duplicates(docs, NEAR).where("kept").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
