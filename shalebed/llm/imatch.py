@@ -1,7 +1,8 @@
 """I-Match fingerprints: hashes of randomised subsets of the lexicon's terms that a text has.
 
 A fingerprint is a row of pieces, one for each subset of whose terms the text has some: two digits for the subset and
-four of the hash of its sorted distinct terms. """
+four of the hash of its sorted distinct terms. A text without a term of the lexicon has pieces of all its terms, in as
+many subsets of their own. """
 
 from __future__ import annotations
 
@@ -28,19 +29,25 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
-    """Terms held by a share of documents from least to most, and by two at least; counted over all documents."""
-    n = docs.count()
-    counted = docs.select(F.explode(terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    """Terms held by a share of distinct texts from least to most, and by two at least; counted over all of them, so copies don't lift a term above the band."""
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    n = texts.select(F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(41)).alias("b")).distinct().count()
+    counted = texts.distinct().select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     return materialize(counted.where((F.col("df") >= max(2, least * n)) & (F.col("df") <= max(2, most * n))).select("term"), "lexicon")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of equal hashes among the subsets of which either text has terms; 1 if neither has any."""
+    """The share of equal hashes among the subsets of which either text has terms; 1 if neither has any, which holds for texts without words only."""
     subsets = lambda x: F.transform(x, lambda p: F.substring(p, 1, 2))
     either = F.size(F.array_union(subsets(a), subsets(b)))
     return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
+def _number(term: Column, first: int = 0) -> Column:
+    """A term as one number: its subset, counted from first, then 52 bits of its hash."""
+    return (F.pmod(F.xxhash64(term, F.lit(41)), F.lit(SUBSETS)) + F.lit(first)) * F.lit(1 << 52) + F.pmod(F.xxhash64(term), F.lit(1 << 52))
+
+
 def _starts(numbers: Column) -> Column:
     """Where in sorted numbers of terms each subset begins."""
     subset = lambda i: F.shiftright(F.get(numbers, i), 52)
@@ -87,7 +94,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     docs has doc_id and text; other columns are not read. The next document is the one of the next smaller doc_id, equal
     ids by text, nulls last; after the last comes the first, so a single document is its own next. A null text counts as
     empty. Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Texts
-    without a term of the lexicon have an empty fingerprint. An empty table gives no rows.
+    without a term of the lexicon have fingerprints of all their terms, those without words an empty one.
+    near_edited compares all terms if one of its two texts alone has terms of the lexicon. An empty table gives no rows.
     """
     chosen = lexicon(docs)
     chosen = chosen.unionByName(docs.sparkSession.createDataFrame([("",)], "term string"))
@@ -107,22 +115,27 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(other, F.lit(1), half))
     both = lined.join(edge, "bucket").select("bucket", "row", "rows", "below", "doc_id", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited")).withColumn("edited_sha256", F.sha2("edited", 256))
     both = both.withColumn("about", F.struct("rows", "below", "doc_id", "n_chars", "edited_sha256"))
-    kinds = both.select("bucket", "row", "about", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("text").alias("t")), F.struct(F.lit(1).alias("k"), F.col("edited").alias("t")))).alias("kind"))
-    # One row of each text has the empty term, which carries what is known about the document.
-    each = kinds.select("bucket", "row", "about", F.col("kind.k").alias("k"), F.explode(F.concat(F.array(F.lit("")), terms(F.col("kind.t")))).alias("term")).select("bucket", "row", "k", "term", F.when((F.col("term") == "") & (F.col("k") == 0), F.col("about")).alias("about"))
-    # A term as one number: its subset, then 52 bits of its hash.
-    number = F.pmod(F.xxhash64("term", F.lit(41)), F.lit(SUBSETS)) * F.lit(1 << 52) + F.pmod(F.xxhash64("term"), F.lit(1 << 52))
-    hashed = each.join(chosen, "term").select("bucket", "row", "k", F.when(F.col("term") != "", number).alias("n"), "about")
+    kinds = both.select("bucket", "row", "about", F.explode(F.array(F.struct(F.lit(0).alias("k"), terms(F.col("text")).alias("t")), F.struct(F.lit(1).alias("k"), terms(F.col("edited")).alias("t")))).alias("kind"))
+    # One row of each text has the empty term, which carries all terms and what is known about the document.
+    empty = F.col("term") == ""
+    each = kinds.select("bucket", "row", "about", "kind", F.explode(F.concat(F.array(F.lit("")), F.col("kind.t"))).alias("term")).select("bucket", "row", F.col("kind.k").alias("k"), "term", F.when(empty & (F.col("kind.k") == 0), F.col("about")).alias("about"), F.when(empty, F.col("kind.t")).alias("all"))
+    hashed = each.join(chosen, "term").select("bucket", "row", "k", F.when(~empty, _number(F.col("term"))).alias("n"), "about", "all")
     some = lambda k: F.sort_array(F.collect_list(F.when(F.col("k") == k, F.col("n"))))
-    grouped = hashed.groupBy("bucket", "row").agg(some(0).alias("mine"), some(1).alias("theirs"), F.first("about", ignorenulls=True).alias("about"))
-    grouped = _once(grouped, "a", mine=F.col("mine"), theirs=F.col("theirs"))
-    grouped = _once(grouped, "b", mine=_starts(F.col("a.mine")), theirs=_starts(F.col("a.theirs")))
-    grouped = grouped.select("bucket", "row", "about", _pieces(F.col("a.mine"), F.col("b.mine")).alias("mine"), _pieces(F.col("a.theirs"), F.col("b.theirs")).alias("theirs"))
-    done = materialize(grouped.select("bucket", "row", "about.*", "mine", "theirs"), "fingerprints")
+    every = lambda k: F.first(F.when(F.col("k") == k, F.col("all")), ignorenulls=True)
+    grouped = hashed.groupBy("bucket", "row").agg(some(0).alias("mine"), some(1).alias("theirs"), every(0).alias("my_all"), every(1).alias("their_all"), F.first("about", ignorenulls=True).alias("about"))
+    all_of = lambda whole: F.sort_array(F.transform(whole, lambda t: _number(t, SUBSETS)))
+    or_all = lambda x, whole: F.when(F.size(x) > 0, F.col(x)).otherwise(all_of(whole))
+    # Where one of the two alone has terms of the lexicon, they are compared by all their terms.
+    bare = (F.size("mine") == 0, F.size("theirs") == 0)
+    other = F.when(bare[0] & ~bare[1], all_of("their_all")).when(bare[1] & ~bare[0], all_of("my_all")).otherwise(F.array().cast("array<bigint>"))
+    grouped = _once(grouped, "a", mine=or_all("mine", "my_all"), theirs=or_all("theirs", "their_all"), other=other, bare=bare[0])
+    grouped = _once(grouped, "b", mine=_starts(F.col("a.mine")), theirs=_starts(F.col("a.theirs")), other=_starts(F.col("a.other")))
+    grouped = grouped.select("bucket", "row", "about", "a.bare", *(_pieces(F.col(f"a.{x}"), F.col(f"b.{x}")).alias(x) for x in ("mine", "theirs", "other")))
+    done = materialize(grouped.select("bucket", "row", "about.*", "bare", "mine", "theirs", "other"), "fingerprints")
     inside = F.col("row") < F.col("rows")
     asked = done.withColumn("to_bucket", F.when(inside, F.col("bucket")).otherwise(F.col("below"))).withColumn("to_row", F.when(inside, F.col("row") + 1).otherwise(1))
     nexts = done.select(F.col("bucket").alias("to_bucket"), F.col("row").alias("to_row"), F.col("mine").alias("following"))
     return asked.join(nexts, ["to_bucket", "to_row"]).select(
         "doc_id", "n_chars", "edited_sha256", F.array_join("mine", "").alias("fingerprint"), F.array_join("theirs", "").alias("edited_fingerprint"),
-        likeness(F.col("mine"), F.col("theirs")).alias("near_edited"), likeness(F.col("mine"), F.col("following")).alias("near_next"),
+        F.when(F.size("other") == 0, likeness(F.col("mine"), F.col("theirs"))).otherwise(likeness(F.when(F.col("bare"), F.col("mine")).otherwise(F.col("theirs")), F.col("other"))).alias("near_edited"), likeness(F.col("mine"), F.col("following")).alias("near_next"),
     )
