@@ -10,8 +10,12 @@ from shalebed.llm.common import WORD, materialize
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
-#: Words of a block, and about as many of a shard; times a document may be taken.
-BLOCK, SHARD, MOST = 64, 1 << 17, 3
+#: Words of a block at most, words of a shard at least, shards of a source at most, and times a document may be taken.
+BLOCK, SHARD, SHARDS, MOST = 64, 1 << 17, 1 << 16, 3
+#: Blocks that a table has at least, if it has as many words: small tables have smaller blocks, so small sources get their share.
+BLOCKS = 1 << 20
+#: Multipliers of the seeded order of blocks; primes above any number of blocks of a shard, so each gives a permutation.
+PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497)
 
 
 def _seeded(seed: str, *by: str) -> Column:
@@ -56,32 +60,53 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     return level.select("source", "source_size", "number", "total", F.when(F.col("first").isNull() | (F.col("spot") < F.col("first.spot")), F.col("cap").cast("double")).otherwise(F.col("weight") * F.col("first.level")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix", block: int = BLOCK, most: int = MOST) -> DataFrame:
+def _taken(start: Column, size: Column, block: Column, blocks: Column, chosen: Column, seed: Column) -> Column:
+    """Words of [start, start + size) in the chosen ones of a shard's blocks: those that a seeded permutation puts first.
+
+    Block j covers words j * block to (j + 1) * block. Its place is (multiplier * j + shift) modulo the number of
+    blocks; multiplier and shift follow from the seed, so the places are a permutation and no block needs a row.
+    """
+    multiplier = F.element_at(F.array(*map(F.lit, PRIMES)), (F.pmod(seed, F.lit(len(PRIMES))) + 1).cast("int")).cast("long")
+    first, last = F.floor(start / block).cast("long"), F.floor((start + size - 1) / block).cast("long")
+    place = lambda j: F.pmod(multiplier * j + F.shiftright(seed, 3), blocks)
+    overlap = lambda j: F.least(start + size, (j + 1) * block) - F.greatest(start, j * block)
+    some = F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda n, j: n + F.when(place(j) < chosen, overlap(j)).otherwise(F.lit(0).cast("long")))
+    return F.when((size > 0) & (chosen > 0), some).otherwise(F.lit(0).cast("long"))
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix", block: int = BLOCK, most: int = MOST, carry: tuple[str, ...] = ()) -> DataFrame:
     """How many words of each document a mix of the sources takes.
 
-    docs has doc_id, text and source; other columns are not read. Returns doc_id, source, size (words of the text; 0 for
-    a null text), source_size, target, taken. A null source is a source of its own, last in order. Documents are dealt
-    by a seeded hash of doc_id to shards of about SHARD words within their source; blocks go to sources and then to
-    shards by highest quotients, and a shard takes its blocks from its documents in seeded order, end to end, over and
-    over, so no document exceeds `most` times its size. Repeated rows count as rows; rows tied in the seeded order go by
-    doc_id and size. A table without words takes 0 of each; an empty table gives no rows. Reruns agree.
+    docs has doc_id, text and source; of other columns only those named in `carry` are read, and returned as they are.
+    Returns one row for each of docs: doc_id, source, size (words of the text; 0 for a null text), source_size, target,
+    taken. A null source is a source of its own, last in order.
+
+    Documents are dealt by a seeded hash of doc_id to shards of their source and laid end to end in a seeded order;
+    every `block` words are a block (fewer in tables of under BLOCKS blocks; a shard's last one may be short). Blocks go
+    to sources and then to shards by highest quotients, an integer quota for each. A shard takes all its blocks as often
+    as its quota holds them and then those that come first in a seeded permutation, so no document exceeds `most` times
+    its size. Repeated rows count as rows; rows tied in the seeded order go by doc_id, size and a hash of the text, so
+    equal texts alone change places. A table without words takes 0 of each; an empty table gives no rows. Reruns agree.
     """
-    sized = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size")), "sized")
+    text = F.coalesce("text", F.lit(""))
+    kept = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)]
+    sized = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("tie"), *kept), "sized")
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     every = W.partitionBy(F.lit(1))
-    with_seats = sources.withColumn("seats", F.round(F.sum("target").over(every) / block).cast("long")).withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD)).cast("long")).withColumn("one", F.lit(1))
+    width = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.sum("source_size").over(every) / BLOCKS))).cast("long")
+    shards = F.least(F.lit(SHARDS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD))).cast("long")
+    with_seats = sources.withColumn("block", width).withColumn("seats", F.round(F.sum("target").over(every) / F.col("block")).cast("long")).withColumn("shards", shards).withColumn("one", F.lit(1))
     quotas = materialize(apportion(with_seats, ["one"], [F.col("number")], "target", "seats"), "quotas")
     # One row a source: broadcast only if Spark finds it small.
-    q = quotas.select(F.col("source").alias("s"), "source_size", "target", "shards", F.col("quota").alias("blocks"))
+    q = quotas.select(F.col("source").alias("s"), "source_size", "target", "shards", "block", F.col("quota").alias("blocks"))
     dealt = sized.join(q, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("shard", F.pmod(_seeded(seed, "doc_id"), F.col("shards")))
-    shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"))
-    words = materialize(
-        apportion(shards, ["source"], [F.col("shard")], "shard_size", "blocks").select(F.col("source").alias("s"), F.col("shard").alias("h"), "shard_size", F.least(F.col("quota") * block, most * F.col("shard_size")).alias("words")),
-        "shards",
-    )
+    shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"), F.first("block").alias("block"))
+    of_shard = apportion(shards, ["source"], [F.col("shard")], "shard_size", "blocks").withColumn("n", F.ceil(F.col("shard_size") / F.col("block")))
+    whole = F.when(F.col("n") > 0, F.least(F.lit(most), F.floor(F.col("quota") / F.col("n")))).otherwise(0).cast("long")
+    part = F.when(whole < most, F.col("quota") - whole * F.col("n")).otherwise(0).cast("long")
+    words = materialize(of_shard.select(F.col("source").alias("s"), F.col("shard").alias("h"), "n", whole.alias("whole"), part.alias("part"), _seeded(seed + "-blocks", "source", "shard").alias("seed")), "shards")
     placed = dealt.join(words, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("h")))
-    line = W.partitionBy("source", "shard").orderBy(_seeded(seed + "-order", "doc_id"), "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    whole = F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(0)
-    rest = F.when(F.col("shard_size") > 0, F.col("words") % F.col("shard_size")).otherwise(0)
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.coalesce(F.sum("size").over(line), F.lit(0))))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"))
+    line = W.partitionBy("source", "shard").orderBy(_seeded(seed + "-order", "doc_id"), "doc_id", "size", "tie").rowsBetween(W.unboundedPreceding, -1)
+    started = placed.withColumn("start", F.coalesce(F.sum("size").over(line), F.lit(0)))
+    taken = F.col("whole") * F.col("size") + _taken(F.col("start"), F.col("size"), F.col("block"), F.col("n"), F.col("part"), F.col("seed"))
+    return started.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *(F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)))
