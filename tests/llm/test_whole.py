@@ -26,8 +26,8 @@ def test_fingerprints_of_hot_texts(spark):
     got = {r["doc_id"]: r for r in imatch.fingerprints(frame(spark, rows)).collect()}
     assert all(got[i]["fingerprint"] == got[i % 2]["fingerprint"] != "" for i in range(80))
     assert got[0]["fingerprint"] != got[1]["fingerprint"] and got[1]["near_next"] == 0
-    assert all(int(got[0]["fingerprint"][k : k + 2], 16) < imatch.SUBSETS for k in range(0, len(got[0]["fingerprint"]), 6))
-    assert all(int(got[1]["fingerprint"][k : k + 2], 16) >= imatch.SUBSETS for k in range(0, len(got[1]["fingerprint"]), 6))
+    assert all(int(got[0]["fingerprint"][k : k + 2], 16) < imatch.SUBSETS for k in range(0, len(got[0]["fingerprint"]), 18))
+    assert all(int(got[1]["fingerprint"][k : k + 2], 16) >= imatch.SUBSETS for k in range(0, len(got[1]["fingerprint"]), 18))
     assert got[301]["near_next"] < 0.2 and got[302]["fingerprint"] == "" and got[303]["near_next"] == 1
     # Half of a hot text and half of another.
     assert got[79]["near_edited"] > 0.1 and got[0]["near_edited"] > 0
