@@ -26,10 +26,12 @@ _pow: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where none is set, as in tests, a temporary one."""
+    """The folder of spark.checkpoint.dir; only where none is set and all runs on one machine, a temporary one. RuntimeError on a cluster without one."""
     found = spark.sparkContext.getCheckpointDir()
     if not found:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="shalebed-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
@@ -62,6 +64,14 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def keyed(docs: DataFrame, key: str) -> DataFrame:
+    """docs with a long column `key` that no two rows share: doc_id where each row has one of its own, else a row number of a written table."""
+    odd = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("doc_id is null or rows > 1")
+    if odd.isEmpty():
+        return docs.withColumn(key, F.col("doc_id").cast("long"))
+    return materialize(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -213,13 +213,14 @@ def _scores(model: Model):
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most `sample` labelled rows of docs that aren't held out, the first by a hash of doc_id.
 
-    Rows with a null doc_id or quality are left out; of a doc_id labelled several times, the least label counts. Text
-    alone is an input.
+    Rows with a null doc_id or quality are left out; of a doc_id labelled several times, the least label counts, and of
+    several texts of one doc_id the one of least figures. Text alone is an input.
     """
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     # The sample is bounded, so it may be broadcast and its figures collected.
     picked = F.broadcast(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    rows = id_and_text(docs).join(picked, "doc_id", "left_semi").mapInArrow(_figures, "doc_id long, x array<double>").join(picked, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select("x", "quality").collect()
+    figures = id_and_text(docs).join(picked, "doc_id", "left_semi").mapInArrow(_figures, "doc_id long, x array<double>").join(picked, "doc_id")
+    rows = figures.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("r")).orderBy("doc_id").select("r.*").collect()
     x = np.array([r["x"] for r in rows], float).reshape(-1, len(FEATURES))
     return fit(x, np.array([r["quality"] for r in rows], float))
 
@@ -235,7 +236,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of docs whose score is at least `least`, with their own columns."""
+    """The rows of docs whose score is at least `least`, with their own columns, whatever their names.
+
+    A null text is scored as an empty one and stays null; a null or repeated doc_id changes nothing, for rows are scored
+    one by one and equal texts have equal scores. An empty table gives no rows.
+    """
     names = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
     id_and_text(docs)
     wide = docs.select(*names, F.coalesce(F.col("text"), F.lit("")).alias("text"))

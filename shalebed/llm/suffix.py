@@ -377,6 +377,7 @@ def _expand(length: int, most: int = 1 << 18):
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, text and spans become doc_id and what is left; columns after them are carried on."""
     for batch in batches:
         texts, all_spans = batch.column(1), batch.column(2)
         kept, spans, sizes = [], [], []
@@ -395,18 +396,20 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(b"".join(raw[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2)))
             spans.append([{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist())])
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), binary(kept), pa.array([hashlib.sha256(x).hexdigest() for x in kept])],
-            names=["doc_id", "n_bytes", "spans", "kept", "kept_sha256"],
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), binary(kept), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), *batch.columns[3:]],
+            names=["doc_id", "n_bytes", "spans", "kept", "kept_sha256", *batch.schema.names[3:]],
         )
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: tuple[str, ...] = ()) -> DataFrame:
     """Each text without the bytes covered by a string of `length` bytes that also starts in a document of smaller doc_id.
 
-    docs has doc_id and text; other columns are not read. Returns doc_id, n_bytes, spans (the removed byte ranges),
-    kept (the remaining bytes, which may be cut inside a character), kept_sha256. A null text counts as empty; texts
-    under `length` bytes stay whole. Rows of one doc_id are never compared with each other, so repeated rows give equal
-    results; rows of one doc_id with different texts stay whole and take part in no match. A row whose doc_id is null takes part in no match and stays whole. An empty table gives no rows.
+    docs has doc_id and text; of other columns only those named in `carry` are read, and returned as they are. Returns
+    one row for each of docs: doc_id, n_bytes, spans (the removed byte ranges), kept (the remaining bytes, which may be
+    cut inside a character), kept_sha256. A null text counts as empty; texts under `length` bytes stay whole. Rows of
+    one doc_id are never compared with each other, so repeated rows give equal results; rows of one doc_id with
+    different texts stay whole and take part in no match. A row whose doc_id is null takes part in no match and stays
+    whole. An empty table gives no rows.
     """
     spark = docs.sparkSession
     parts = 8 * partitions(spark)
@@ -419,8 +422,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     marked = numbered.join(by_doc, "doc_id").select("doc_id", "text", "places")
     spans = marked.mapInArrow(_send_contexts(length, gram, parts), _CONTEXTS).groupBy("part").applyInPandas(_expand(length), "doc_id long, spans binary")
     of_doc = materialize(spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans")), "spans")
-    joined = texts.join(of_doc, "doc_id", "left").select("doc_id", F.col("text").cast("binary").alias("text"), "spans")
-    return joined.mapInArrow(_cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, kept_sha256 string")
+    types = {f.name: f.dataType.simpleString() for f in docs.schema}
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)))
+    joined = whole.join(of_doc, "doc_id", "left").select("doc_id", "text", "spans", *(f"c{i}" for i in range(len(carry))))
+    cut = joined.mapInArrow(_cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, kept_sha256 string" + "".join(f", c{i} {types[c]}" for i, c in enumerate(carry)))
+    return cut.withColumnsRenamed({f"c{i}": c for i, c in enumerate(carry)})
 
 
 def summary(result: DataFrame) -> DataFrame:
