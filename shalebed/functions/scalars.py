@@ -17,12 +17,12 @@ def bucket(x: Column | str) -> Column:
     return F.when(_c(x) >= 1, F.length(F.bin(_c(x))) - 1)
 
 
-def human_size(x: Column | str) -> Column:
-    """Bytes in powers of 1024 within five columns: exact multiples whole, else two, one or no decimals."""
+def human_size(x: Column | str, base: int = 1024) -> Column:
+    """Bytes in powers of 1024 (or another base) within five columns: exact multiples whole, else two, one or no decimals."""
     n = _c(x).cast("decimal(38,0)")
     out = n.cast("string")
     for i, unit in enumerate(UNITS, 1):
-        size = 1 << (10 * i)
+        size = base**i
         ratio = n / F.lit(size)
         two, one = F.format_string("%.2f", ratio.cast("double")), F.format_string("%.1f", ratio.cast("double"))
         text = F.when(n % size == 0, (n / size).cast("long").cast("string")).when(F.length(two) <= 4, two).when(F.length(one) <= 4, one).otherwise(F.format_string("%.0f", ratio.cast("double")))
@@ -30,13 +30,38 @@ def human_size(x: Column | str) -> Column:
     return out
 
 
+def human_count(x: Column | str) -> Column:
+    """A number in powers of 1000 within five columns, as human_size has it."""
+    return human_size(x, 1000)
+
+
+def human_time(x: Column | str) -> Column:
+    """Nanoseconds as ns, us, ms or s in steps of 1000, at most three digits and a unit; a dash for 0."""
+    n = _c(x).cast("double")
+    out = F.lit("-")
+    for i, unit in enumerate(("ns", "us", "ms", "s")):
+        size = 1000.0**i
+        ratio = n / F.lit(size)
+        two, one = F.format_string("%.2f", ratio), F.format_string("%.1f", ratio)
+        whole = _c(x).cast("long") % F.lit(int(size)) == 0
+        text = F.when(whole, F.floor(ratio).cast("string")).when(F.length(two) <= 4, two).when(F.length(one) <= 4, one).otherwise(F.format_string("%.0f", ratio))
+        out = F.when(n >= size, F.concat(text, F.lit(unit))).otherwise(out)
+    return out
+
+
 def parse_size(x: Column | str) -> Column:
-    """A number with an optional unit K to E (then B or iB); null if it is none."""
+    """A number with an optional unit K to E (then B or iB), or a hexadecimal one after 0x; null if it is none or too large.
+
+    Whole numbers are exact to 64 bits; only numbers with decimals are rounded down after they meet their unit.
+    """
     text = F.upper(F.trim(_c(x)))
-    number = F.regexp_extract(text, r"^([0-9]+(?:\.[0-9]+)?)([KMGTPE]?)I?B?$", 1)
-    unit = F.regexp_extract(text, r"^([0-9]+(?:\.[0-9]+)?)([KMGTPE]?)I?B?$", 2)
+    shape = r"^([0-9]+(?:\.[0-9]+)?)(?:([KMGTPE]?)I?B?)$"
+    number, unit = F.regexp_extract(text, shape, 1), F.regexp_extract(text, shape, 2)
     power = F.when(unit == "", 0).otherwise(F.position(unit, F.lit(UNITS)))
-    return F.when(number != "", (number.cast("double") * F.pow(F.lit(1024.0), power)).cast("long"))
+    factor = F.element_at(F.array(*(F.lit(1 << (10 * i)).cast("long") for i in range(len(UNITS) + 1))), (power + 1).cast("int"))
+    exact = number.try_cast("decimal(38,18)") * factor.cast("decimal(19,0)")
+    digits = F.regexp_extract(text, r"^0X0*([0-9A-F]{1,16})$", 1)
+    return F.when(digits != "", F.conv(digits, 16, -10).try_cast("long")).when(number != "", F.floor(exact).try_cast("long"))
 
 
 def bits(word: Column | str, low: int, count: int) -> Column:
@@ -56,14 +81,69 @@ def depth(name: Column | str) -> Column:
     return F.size(F.split(dataset(name), "/")) - 1
 
 
-def valid_name(name: Column | str) -> Column:
-    """Components of letters, digits and -_.: separated by single slashes, with an optional @snapshot; at most 255 bytes."""
-    return F.coalesce(_c(name).rlike(r"^[A-Za-z][A-Za-z0-9_.:-]*(/[A-Za-z0-9_.:-]+)*(@[A-Za-z0-9_.:-]+)?\z") & (F.octet_length(_c(name)) < 256), F.lit(False))
+#: Bytes of a name, of a permission set's name, levels of a path, and names that no pool may have.
+NAME_BYTES, SET_BYTES, LEVELS = 256, 64, 50
+RESERVED = ("mirror", "raidz", "draid")
+
+
+def name_error(name: Column | str, kind: str = "entity") -> Column:
+    """What is wrong with a name, or null: the first fault from the left.
+
+    Kinds: component (no separators), entity (path, snapshot or bookmark), dataset (no bookmark), snapshot, bookmark,
+    pool, set (a permission set) and mountpoint-free depth (levels of a path).
+    """
+    c = _c(name)
+    bad, long = c.rlike(r"[^A-Za-z0-9_.: -]"), F.octet_length(c) >= NAME_BYTES
+    if kind == "component":
+        return F.when(long, "too long").when(c == "", "empty component").when(bad, "invalid character")
+    if kind == "set":
+        inner = F.substring(c, 2, 1 << 20)
+        return F.when(F.octet_length(c) >= SET_BYTES, "too long").when(~c.startswith("@"), "no at").when(inner == "", "empty component").when(inner.rlike(r"[^A-Za-z0-9_.: -]"), "invalid character")
+    if kind == "pool":
+        return F.when(F.octet_length(c) >= NAME_BYTES - 2 - 2 * len("$ORIGIN"), "too long").when(bad, "invalid character").when(~c.rlike(r"^[A-Za-z]"), "no letter").when(c.isin(*RESERVED), "reserved")
+    if kind == "depth":
+        return F.when(depth(c) >= LEVELS, "too deep")
+    # Faults of components by where they begin; the leftmost one counts, and within one the order of the list.
+    parts = F.transform(F.split(c, r"[/@#]"), lambda p, i: F.struct(i.alias("i"), p.alias("p")))
+    delimiters = F.filter(F.split(c, r"[^/@#]*"), lambda d: d != "")
+    marks = lambda i: F.size(F.filter(F.slice(delimiters, 1, i), lambda d: d != "/"))
+    after = lambda i: F.get(delimiters, i)
+
+    def fault(s: Column) -> Column:
+        p, i = s["p"], s["i"]
+        end, before = after(i), F.get(delimiters, i - 1)
+        return (
+            F.when(end.isNull() & (p == "") & (before == "/"), "trailing slash")
+            .when(p.rlike(r"[^A-Za-z0-9_.: %-]"), "invalid character").when(p == ".", "self reference").when(p == "..", "parent reference")
+            .when(end.isin("@", "#") & (marks(i) > 0), "multiple delimiters").when(p == "", "empty component")
+            .when((end == "/") & (marks(i) > 0), "trailing slash")
+        )
+
+    first = F.get(F.filter(F.transform(parts, fault), lambda f: f.isNotNull()), 0)
+    wrong = F.when(long, "too long").when(c.startswith("/"), "leading slash").when(c == "", "empty component").otherwise(first)
+    if kind == "dataset":
+        return F.coalesce(wrong, F.when(c.contains("#"), "invalid character"))
+    if kind in ("snapshot", "bookmark"):
+        return F.coalesce(wrong, F.when(~c.contains("@" if kind == "snapshot" else "#"), "no at" if kind == "snapshot" else "no pound"))
+    return wrong
+
+
+def valid_name(name: Column | str, kind: str = "entity") -> Column:
+    """Whether a name is one of its kind; false for null."""
+    return F.coalesce(_c(name).isNotNull() & name_error(name, kind).isNull(), F.lit(False))
 
 
 def escape_tag(x: Column | str) -> Column:
-    """Commas, blanks and equals signs with a backslash before them."""
-    return F.regexp_replace(_c(x), r"([,= ])", r"\\$1")
+    """Commas, blanks, equals signs and backslashes with a backslash before them."""
+    return F.regexp_replace(_c(x), r"([,= \\])", r"\\$1")
+
+
+def escape_path(x: Column | str) -> Column:
+    """Bytes that are no visible ASCII, and backslashes, as a backslash, 0 and three octal digits."""
+    # A byte has two hexadecimal digits; Latin-1 gives each byte a character of its own.
+    return F.when(_c(x).rlike(r"^[!-\[\]-~]*\z"), _c(x)).otherwise(
+        F.array_join(F.transform(F.split(F.decode(_c(x).cast("binary"), "ISO-8859-1"), ""), lambda ch: F.when(ch.rlike(r"[!-\[\]-~]"), ch).when(ch == "", "").otherwise(F.concat(F.lit("\\0"), F.lpad(F.conv(F.conv(F.hex(F.encode(ch, "ISO-8859-1")), 16, 10), 10, 8), 3, "0")))), "")
+    )
 
 
 def percent(part: Column | str, whole: Column | str) -> Column:

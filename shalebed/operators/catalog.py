@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shalebed.storage import materialize
+
 COLUMNS = ("name", "kind", "created", "origin")
 
 
@@ -54,14 +56,21 @@ def snapshot_span(catalog: DataFrame, spec: str) -> DataFrame:
     return out.dropDuplicates(["name"])
 
 
-def dependents(catalog: DataFrame, root: str, most: int = 64) -> DataFrame:
-    """Names below root and all clones made from them, with what is below those, and so on; loops end when nothing is new."""
-    spark = catalog.sparkSession
+def dependents(catalog: DataFrame, root: str) -> DataFrame:
+    """Names below root and all clones made from them, with what is below those, and so on at any depth.
+
+    Breadth first: each step keeps only names not met before, so every name is met once and loops end.
+    """
     links = catalog.select(F.col("name").alias("child"), F.explode(F.array("origin", owner("name"), F.when((F.col("kind") == "filesystem") & F.col("name").contains("/"), F.regexp_replace("name", "/[^/]*$", "")))).alias("parent")).where("parent is not null and parent <> child")
-    return spark.sql(
-        f"WITH RECURSIVE up(name, d) MAX RECURSION LEVEL {most} AS (SELECT name, 0 FROM {{c}} WHERE name = :root UNION ALL SELECT l.child, d + 1 FROM up JOIN {{l}} l ON l.parent = up.name) SELECT DISTINCT name FROM up WHERE name <> :root",
-        {"root": root}, c=catalog, l=links,
-    )
+    links = materialize(links.select("parent", "child").distinct(), "links")
+    met = materialize(catalog.where(F.col("name") == root).select("name").distinct(), "met")
+    step = met
+    while True:
+        new = step.join(links, step["name"] == links["parent"]).select(F.col("child").alias("name")).distinct().join(met, "name", "left_anti")
+        step = materialize(new, "step")
+        if step.isEmpty():
+            return met.where(F.col("name") != root)
+        met = materialize(met.unionByName(step), "met")
 
 
 def snapshot(catalog: DataFrame, tag: str, at: int, root: str) -> DataFrame:

@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shalebed.storage import materialize
+
+
+def closure(tree: DataFrame) -> DataFrame:
+    """id, ancestor and distance (0 for itself) at any depth, by doubling: each step joins paths of up to twice the length.
 
-def closure(tree: DataFrame, depth: int = 64) -> DataFrame:
-    """id, ancestor and distance (0 for itself), by doubling: each step joins paths of up to twice the length."""
-    paths = tree.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance")).unionByName(tree.where("parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")))
+    Steps are written out, so none is computed twice. ValueError if a node is its own ancestor.
+    """
+    up = tree.where("parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
+    steps = [materialize(up, "paths")]
     reach = 1
-    while reach < depth:
-        far = paths.where(F.col("distance") == reach).select("id", F.col("ancestor").alias("via"))
-        if far.isEmpty():
-            break
-        more = far.join(paths.where("distance > 0").select(F.col("id").alias("via"), "ancestor", F.col("distance").alias("d")), "via").select("id", "ancestor", (F.col("d") + reach).alias("distance"))
-        paths, reach = paths.unionByName(more), reach * 2
-    return paths
+    while True:
+        if not steps[-1].where("id = ancestor").isEmpty():
+            raise ValueError("a node is its own ancestor")
+        far = steps[-1].where(F.col("distance") == reach).select("id", F.col("ancestor").alias("via"))
+        paths = reduce(DataFrame.unionByName, steps)
+        more = far.join(paths.select(F.col("id").alias("via"), "ancestor", F.col("distance").alias("d")), "via").select("id", "ancestor", (F.col("d") + reach).alias("distance"))
+        more = materialize(more, "paths")
+        if more.isEmpty():
+            return tree.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance")).unionByName(paths)
+        steps.append(more)
+        reach *= 2
 
 
 def inherit(tree: DataFrame, local: DataFrame, default: str) -> DataFrame:

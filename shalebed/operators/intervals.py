@@ -52,16 +52,14 @@ def difference(df: DataFrame, keys: list[str], left: str, right: str) -> DataFra
 def overlay(df: DataFrame, keys: list[str], priority: str, value: str) -> DataFrame:
     """Disjoint ranges, each with the value of the covering interval of least priority; equal neighbours are merged.
 
-    Elementary cells meet intervals within buckets about as wide as an interval is long: a cell is in the bucket of its
-    start, an interval in all that it meets, so a key with many intervals is no product of them.
+    Elementary cells meet intervals within buckets about as wide as the interval is long, so a key with many intervals is
+    no product of them, nor is a long one among short ones.
     """
     held = df.where("start < end").select(*keys, "start", "end", priority, value)
-    width = max(1, int(held.agg(F.avg(F.col("end") - F.col("start"))).first()[0] or 1))
     points = endpoints(df, keys, n="true").select(*keys, "pos")
     line = W.partitionBy(*keys).orderBy("pos")
-    cells = points.select(*keys, F.col("pos").alias("s"), F.lead("pos").over(line).alias("e")).where("e is not null").withColumn("_b", F.floor(F.col("s") / width))
-    listed = held.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))))
-    hit = cells.join(listed, [*keys, "_b"]).where("start <= s and s < end").groupBy(*keys, F.col("s").alias("start"), F.col("e").alias("end")).agg(F.min_by(value, F.struct(priority, value)).alias(value))
+    cells = points.select(*keys, F.col("pos").alias("s"), F.lead("pos").over(line).alias("e")).where("e is not null")
+    hit = containing(cells, held, keys, "s", "start", "end").groupBy(*keys, F.col("s").alias("start"), F.col("e").alias("end")).agg(F.min_by(value, F.struct(priority, value)).alias(value))
     return coalesce(hit, [*keys, value])
 
 
@@ -77,14 +75,23 @@ def replay(log: DataFrame, keys: list[str], seq: str, op: str) -> DataFrame:
     return overlay(last, keys, "_p", op).where(F.col(op) == "FREE").drop(op)
 
 
-def lookup(points: DataFrame, bands: DataFrame, at: str) -> DataFrame:
-    """Each point with the band [lo, hi) that holds it; the bands are disjoint, so the last one that begins before it is the only candidate.
+def containing(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, lo: str, hi: str) -> DataFrame:
+    """Each point with every range [lo, hi) of its keys that holds it, all columns of both.
 
-    The bands are swept together with the points by a coarse bucket; a band is listed in every bucket that it meets.
+    A range is listed in the two buckets at most that it meets of the power of two next above its length; a point is
+    asked for once for each length class that there is (64 at most), so rows grow with the input, however lengths differ.
     """
-    width = bands.agg(F.coalesce(F.avg(F.col("hi") - F.col("lo")), F.lit(1.0))).first()[0] or 1.0
-    listed = bands.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
-    return points.withColumn("bucket", F.floor(F.col(at) / width)).join(listed, "bucket").where((F.col(at) >= F.col("lo")) & (F.col(at) < F.col("hi"))).drop("bucket")
+    class_ = F.ceil(F.log2(F.greatest(F.col(hi) - F.col(lo), F.lit(1)).cast("double"))).cast("int")
+    width = F.pow(F.lit(2.0), F.col("_class"))
+    listed = ranges.where(F.col(lo) < F.col(hi)).withColumn("_class", class_).withColumn("_bucket", F.explode(F.array_distinct(F.array(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width)))))
+    classes = sorted(r["_class"] for r in listed.select("_class").distinct().collect())
+    asked = points.withColumn("_class", F.explode(F.array(*map(F.lit, classes)).cast("array<int>"))).withColumn("_bucket", F.floor(F.col(at) / width))
+    return asked.join(listed, [*keys, "_class", "_bucket"]).where((F.col(at) >= F.col(lo)) & (F.col(at) < F.col(hi))).drop("_class", "_bucket")
+
+
+def lookup(points: DataFrame, bands: DataFrame, at: str) -> DataFrame:
+    """Each point with the band [lo, hi) that holds it; bands of any lengths."""
+    return containing(points, bands, [], at, "lo", "hi")
 
 
 def members(points: DataFrame, ranges: DataFrame, keys: list[str], at: str) -> DataFrame:

@@ -6,20 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shalebed.functions.scalars import bits
+from shalebed.operators.intervals import containing
 
 
 def read_range(blocks: DataFrame, size: int, offset: int, length: int) -> DataFrame:
-    """object and payload: bytes offset to offset + length; only blocks that the range meets are read.
+    """object and payload: bytes offset to offset + length of every object that has a block there; only such blocks are read.
 
-    Blocks hold `size` bytes; missing ones are not filled.
+    Blocks hold `size` bytes; where one is missing or short, zeros keep the place of what follows.
     """
     first, last = offset // size, (offset + length - 1) // size
     met = blocks.where(F.col("blkid").between(first, last))
     start = F.greatest(F.lit(offset) - F.col("blkid") * size, F.lit(0)).cast("int")
     end = F.least(F.lit(offset + length) - F.col("blkid") * size, F.lit(size)).cast("int")
-    cut = met.select("object", F.struct("blkid", F.substring("payload", start + 1, end - start).alias("p")).alias("b"))
-    parts = cut.groupBy("object").agg(F.sort_array(F.collect_list("b")).alias("bs"))
-    return parts.select("object", F.concat_ws("", F.transform("bs", lambda b: F.hex(b["p"]))).alias("h")).select("object", F.unhex("h").alias("payload"))
+    cut = met.select("object", "blkid", F.rpad(F.hex(F.substring("payload", start + 1, end - start)), 2 * (end - start), "0").alias("h"))
+    parts = cut.groupBy("object").agg(F.map_from_entries(F.collect_list(F.struct("blkid", "h"))).alias("m"))
+
+    def part(i: Column) -> Column:
+        bytes_ = F.least(F.lit(offset + length) - i * size, F.lit(size)) - F.greatest(F.lit(offset) - i * size, F.lit(0))
+        return F.coalesce(F.col("m")[i], F.repeat(F.lit("00"), bytes_.cast("int")))
+
+    every = F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))
+    return parts.select("object", F.unhex(F.concat_ws("", F.transform(every, part))).alias("payload"))
 
 
 def next_object(objects: DataFrame, after: int, since: int, holes: bool = False) -> DataFrame:
@@ -62,8 +69,11 @@ def remap(ranges: DataFrame, mapping: DataFrame, width: int) -> DataFrame:
 def damaged(errors: DataFrame, datasets: DataFrame) -> DataFrame:
     """errors (head, object, birth, death) with each dataset (name, head, created) that still refers to the block.
 
-    A snapshot does if it was made at or after birth and before death; the head itself (created null) if the block is alive.
+    A snapshot does if it was made at or after birth and before death; the head itself (created null) if the block is
+    alive. Lives meet snapshots in buckets as wide as a life is long, so those of other times don't meet.
     """
-    both = errors.join(datasets, "head")
-    alive = F.when(F.col("created").isNull(), F.col("death").isNull()).otherwise((F.col("birth") <= F.col("created")) & (F.col("death").isNull() | (F.col("created") < F.col("death"))))
-    return both.where(alive).select("name", "object")
+    heads = errors.where("death is null").join(datasets.where("created is null"), "head").select("name", "object")
+    end = datasets.agg(F.coalesce(F.max("created"), F.lit(0)).alias("_end"))
+    lives = errors.join(F.broadcast(end)).select("head", "object", F.col("birth").alias("lo"), F.coalesce("death", F.greatest("_end", "birth") + 1).alias("hi"))
+    made = containing(datasets.where("created is not null"), lives, ["head"], "created", "lo", "hi")
+    return heads.unionByName(made.select("name", "object"))

@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shalebed.operators import catalog as C
+from shalebed.storage import materialize
+
+
+#: Steps after which the catalog is written out, so the plan stays short.
+CUT = 4
 
 
 class Refused(ValueError):
@@ -70,7 +75,9 @@ def run(catalog: DataFrame, holds: DataFrame, steps: list[tuple], limit: int = 1
     if len(steps) > limit:
         raise Refused(f"more than {limit} steps")
     now = catalog.select(*C.COLUMNS)
-    for name, *args in steps:
+    for number, (name, *args) in enumerate(steps):
+        if number and number % CUT == 0:
+            now = materialize(now, "procedure")
         keywords = args.pop() if args and isinstance(args[-1], dict) else {}
         got = bind(name, tuple(args), keywords)
         for argument, kind in STEPS[name].needs.items():

@@ -115,14 +115,14 @@ def _values(rows: list[tuple]) -> str:
 @query(
     f"""WITH RECURSIVE {_TREE}, g(id, who, scope, perm) AS (VALUES {_values(_GRANTS)}), s(id, name, perm) AS (VALUES {_values(_SETS)}),
 flat AS (SELECT * FROM g WHERE perm NOT LIKE '@%' UNION SELECT g.id, who, scope, s.perm FROM g JOIN s ON s.id = g.id AND s.name = g.perm),
-asked AS (SELECT id, unnest({_WHO}) AS who, p AS perm FROM tree, (SELECT unnest({_PERMS}) AS p) WHERE id NOT LIKE 'c%')
+asked AS (SELECT id, unnest({_WHO}) AS who, p AS perm FROM tree, (SELECT unnest({_PERMS}) AS p) )
 SELECT id, who, perm, EXISTS (SELECT 1 FROM up JOIN flat f ON f.id = up.ancestor WHERE up.id = a.id AND f.perm = a.perm AND (f.who = a.who OR f.who = 'everyone' OR (f.who = 'staff' AND a.who = 'bob'))
   AND (f.scope = 'both' OR f.scope = CASE WHEN up.d = 0 THEN 'local' ELSE 'below' END)) AS allowed FROM asked a"""
 )
 def permission_access(t):
     tree = _tree(t)
     spark = tree.sparkSession
-    asked = tree.where("not startswith(id, 'c')").select("id", F.explode(F.lit(_WHO)).alias("who")).select("*", F.explode(F.lit(_PERMS)).alias("perm"))
+    asked = tree.select("id", F.explode(F.lit(_WHO)).alias("who")).select("*", F.explode(F.lit(_PERMS)).alias("perm"))
     return access.allowed(tree, spark.createDataFrame(_GRANTS, "id string, who string, scope string, perm string"), spark.createDataFrame(_SETS, "id string, name string, perm string"), spark.createDataFrame([("bob", "staff")], "who string, member_of string"), asked)
 
 
@@ -138,10 +138,12 @@ def quota_admission(t):
     return access.admit(tree, own, limits, own.select("id", F.lit(1000).cast("long").alias("amount")))
 
 
-@query("SELECT l_orderkey AS object, string_agg(CASE l_linenumber WHEN 1 THEN substr(p, 6, 3) ELSE substr(p, 1, 6) END, '' ORDER BY l_linenumber) AS payload FROM (SELECT *, lpad(k::VARCHAR, 8, '0') AS p FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) AS k FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL)) GROUP BY 1")
+@query("""WITH b AS (SELECT l_orderkey AS object, l_linenumber AS n, hex(lpad(max(l_partkey)::VARCHAR, 8, '0')) AS h FROM lineitem WHERE l_partkey % 3 <> 0 GROUP BY ALL)
+SELECT object, coalesce(max(substr(h, 11, 6)) FILTER (n = 1), '000000') || coalesce(max(h) FILTER (n = 2), '0000000000000000') || coalesce(max(substr(h, 1, 4)) FILTER (n = 3), '0000') AS payload FROM b WHERE n <= 3 GROUP BY 1""")
 def object_range_read(t):
-    b = t("lineitem").groupBy(F.col("l_orderkey").alias("object"), (F.col("l_linenumber") - 1).alias("blkid")).agg(F.max("l_partkey").alias("k"))
-    return objects.read_range(b.select("object", "blkid", F.encode(F.lpad(F.col("k").cast("string"), 8, "0"), "UTF-8").alias("payload")), 8, 5, 9).select("object", F.decode("payload", "UTF-8").alias("payload"))
+    """Bytes 5 to 18 of blocks of 8, some of which are holes."""
+    b = t("lineitem").where("l_partkey % 3 <> 0").groupBy(F.col("l_orderkey").alias("object"), (F.col("l_linenumber") - 1).alias("blkid")).agg(F.max("l_partkey").alias("k"))
+    return objects.read_range(b.select("object", "blkid", F.encode(F.lpad(F.col("k").cast("string"), 8, "0"), "UTF-8").alias("payload")), 8, 5, 13).select("object", F.hex("payload").alias("payload"))
 
 
 @query("SELECT min(o_orderkey) AS object, (SELECT min(k) FROM (SELECT o_orderkey + 1 AS k FROM orders WHERE o_orderkey > 50) WHERE k NOT IN (SELECT o_orderkey FROM orders)) AS hole FROM orders WHERE o_orderkey > 50 AND o_custkey > 100")
@@ -166,11 +168,11 @@ def remap_ranges(t):
     return objects.remap(r, m, 512)
 
 
-@query("""WITH e AS (SELECT o_custkey % 25 AS head, o_orderkey AS object, o_orderkey AS birth, CASE o_orderstatus WHEN 'F' THEN o_orderkey + 900 END AS death FROM orders WHERE o_orderkey % 7 = 0),
+@query("""WITH e AS (SELECT o_custkey % 25 AS head, o_orderkey AS object, o_orderkey AS birth, CASE o_orderstatus WHEN 'F' THEN o_orderkey + 900 END AS death FROM orders),
 d AS (SELECT n_name AS name, n_nationkey AS head, NULL AS created FROM nation UNION ALL SELECT n_name || '@' || k, n_nationkey, k * 500 FROM nation, (SELECT unnest(range(1, 9)) AS k))
 SELECT name, object FROM e JOIN d USING (head) WHERE CASE WHEN created IS NULL THEN death IS NULL ELSE birth <= created AND (death IS NULL OR created < death) END""")
 def damaged_datasets(t):
-    e = t("orders").where("o_orderkey % 7 = 0").select((F.col("o_custkey") % 25).alias("head"), F.col("o_orderkey").alias("object"), F.col("o_orderkey").alias("birth"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey") + 900).alias("death"))
+    e = t("orders").select((F.col("o_custkey") % 25).alias("head"), F.col("o_orderkey").alias("object"), F.col("o_orderkey").alias("birth"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey") + 900).alias("death"))
     n = t("nation")
     snaps = n.select("n_name", "n_nationkey", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("k")).select(F.concat("n_name", F.lit("@"), "k").alias("name"), F.col("n_nationkey").alias("head"), (F.col("k") * 500).alias("created"))
     heads = n.select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("head"), F.lit(None).cast("int").alias("created"))

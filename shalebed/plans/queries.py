@@ -305,19 +305,56 @@ def sequential_streams(t):
     return timeseries.islands(t("lineitem"), ["l_suppkey"], "l_partkey")
 
 
-@query()
+_NTH = f"o AS (SELECT *, {_F} AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
+
+
+@query(f"WITH RECURSIVE {_NTH}, r AS (SELECT user_id, ts, event_id, n, greatest(0, trunc(trunc(value) / 8))::BIGINT AS ewma FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.ts, o.event_id, o.n, greatest(0, r.ewma + trunc((trunc(o.value) - r.ewma) / 8))::BIGINT FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1) SELECT user_id, ts, event_id, ewma FROM r")
 def ewma(t):
     return timeseries.moving_average(t("events"), ["user_id"], ["ts", "event_id"], "value", 8)
 
 
-@query()
+@query(f"WITH RECURSIVE {_NTH}, r AS (SELECT user_id, ts, event_id, n, s AS b, 1 AS used FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.ts, o.event_id, o.n, CASE WHEN o.s - r.b >= 86400 THEN o.s ELSE r.b END, CASE WHEN o.s - r.b >= 86400 THEN 1 ELSE r.used + 1 END FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1) SELECT user_id, ts, event_id, used <= 2 AS passed FROM r")
 def rate_limit(t):
     return timeseries.limit_rate(_events(t), ["user_id"], ["ts", "event_id"], "s", 86400, 2)
 
 
-@query()
+# Times to the quarter of an hour, so some are equal; state: the last time of each tier and the last mark of minutes.
+_TIERS = """g AS (SELECT user_id % 40 AS grp, floor(epoch(ts) / 900)::BIGINT * 900 AS s, event_id AS mark FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY s, mark) AS n FROM g),
+r AS (SELECT grp, s, mark, n, 'month' AS tier, s AS m, NULL::BIGINT AS d, NULL::BIGINT AS i, NULL::BIGINT AS im FROM o WHERE n = 1
+ UNION ALL SELECT grp, s, mark, n, tier, CASE tier WHEN 'month' THEN s ELSE m END, CASE tier WHEN 'day' THEN s ELSE d END, CASE tier WHEN 'minute' THEN s ELSE i END, CASE tier WHEN 'minute' THEN mark ELSE im END
+ FROM (SELECT o.grp, o.s, o.mark, o.n, r.m, r.d, r.i, r.im, CASE WHEN o.s - r.m >= 2592000 THEN 'month' WHEN r.d IS NULL OR o.s - r.d >= 86400 THEN 'day' WHEN r.i IS NULL OR o.s > r.i OR o.mark > r.im THEN 'minute' END AS tier FROM r JOIN o ON o.grp = r.grp AND o.n = r.n + 1)),
+kept AS (SELECT grp, tier, s, coalesce(lead(mark) OVER (PARTITION BY grp, tier, s ORDER BY mark), mark) AS mark, row_number() OVER (PARTITION BY grp, tier ORDER BY s DESC, mark DESC) AS k FROM r WHERE tier IS NOT NULL),
+tiers AS (SELECT grp, tier, s, mark FROM kept WHERE k <= 256)"""
+
+
+def _tiers(t) -> DataFrame:
+    g = t("events").select((F.col("user_id") % 40).alias("grp"), (F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 900) * 900).cast("long").alias("s"), F.col("event_id").alias("mark"))
+    return timeseries.tiers(g, ["grp"], "s", "mark")
+
+
+@query(f"WITH RECURSIVE {_TIERS} SELECT * FROM tiers")
 def rrd_tiers(t):
-    return timeseries.tiers(_events(t), ["user_id"], ["ts", "event_id"], "s")
+    return _tiers(t)
+
+
+def _closest(how: str, sign: str, end: str) -> str:
+    one = lambda tier: f"(SELECT {end}(struct_pack(s := s, mark := mark)) FROM tiers x WHERE x.grp = q.grp AND x.tier = '{tier}' AND x.s {sign} q.time)"
+    return f"""WITH RECURSIVE {_TIERS}, q AS (SELECT DISTINCT l_suppkey % 40 AS grp, epoch(TIMESTAMP '2024-01-01')::BIGINT + 43200 * (l_partkey % 70) AS time FROM lineitem),
+c AS (SELECT grp, time, [struct_pack(d := abs(time - month_.s), p := 0, mark := month_.mark), struct_pack(d := abs(time - day_.s), p := 1, mark := day_.mark), struct_pack(d := abs(time - minute_.s), p := 2, mark := minute_.mark)] AS c
+ FROM (SELECT *, {one('month')} AS month_, {one('day')} AS day_, {one('minute')} AS minute_ FROM q))
+SELECT grp, time, list_min(list_filter(c, lambda x: x.d IS NOT NULL)).mark AS mark FROM c"""
+
+
+def _asked(t) -> DataFrame:
+    return t("lineitem").select((F.col("l_suppkey") % 40).alias("grp"), (F.unix_timestamp(F.lit("2024-01-01").cast("timestamp")) + 43200 * (F.col("l_partkey") % 70)).alias("time")).distinct()
+
+
+@query(_closest("floor", "<=", "max"))
+def rrd_floor(t):
+    return timeseries.closest(_asked(t), _tiers(t), ["grp"], "time", "s", "mark", "floor")
+
+
 
 
 @query("SELECT name, kind, bal, rank() OVER (ORDER BY bal DESC NULLS LAST, name) AS place FROM (SELECT c_name AS name, 'c' AS kind, c_acctbal AS bal FROM customer UNION ALL SELECT s_name, 's', NULL FROM supplier) ORDER BY bal DESC NULLS LAST, name LIMIT 200")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 Step = Callable[[DataFrame], DataFrame]
@@ -27,10 +28,13 @@ def drop_listed(listed: DataFrame) -> Step:
 
 def resolve_references(df: DataFrame) -> DataFrame:
     """WRITE_BYREF rows get the payload of the last earlier WRITE at (ref_object, ref_offset) and become WRITE."""
-    writes = df.where("type = 'WRITE'").select(F.col("object").alias("ref_object"), F.col("offset").alias("ref_offset"), F.col("seq").alias("_s"), F.col("payload").alias("_p"))
-    refs = df.where("type = 'WRITE_BYREF'")
-    found = refs.join(writes, ["ref_object", "ref_offset"]).where("_s < seq").groupBy("seq").agg(F.max_by("_p", "_s").alias("_p"))
-    return df.join(found, "seq", "left").withColumn("payload", F.coalesce("_p", "payload")).withColumn("type", F.when(F.col("_p").isNotNull(), "WRITE").otherwise(F.col("type"))).drop("_p")
+    # One sweep over each place in order of seq: what a reference asks for is the last write before it.
+    reference = F.col("type") == "WRITE_BYREF"
+    place = [F.when(reference, F.col(f"ref_{c}")).otherwise(F.col(c)) for c in ("object", "offset")]
+    before = W.partitionBy(*place).orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("type") == "WRITE", F.struct("payload")), ignorenulls=True).over(before)
+    found = df.withColumn("_p", F.when(reference, last))
+    return found.withColumn("payload", F.coalesce("_p.payload", "payload")).withColumn("type", F.when(F.col("_p.payload").isNotNull(), "WRITE").otherwise(F.col("type"))).drop("_p")
 
 
 def apply_writes(df: DataFrame) -> DataFrame:
@@ -44,11 +48,29 @@ def statistics(df: DataFrame) -> DataFrame:
     return df.rollup("type").agg(F.count("*").alias("records"), F.coalesce(F.sum(F.octet_length("payload")), F.lit(0)).cast("long").alias("payload_bytes"))
 
 
-def event_counts(spark: SparkSession, path: str, table: str, checkpoint: str, span: str = "1 day") -> DataFrame:
-    """Counts by time window and type of Parquet event files arriving in path: all there is now, then stops."""
+def event_counts(spark: SparkSession, path: str, out: str, checkpoint: str, span: str = "1 day", slide: str | None = None) -> DataFrame:
+    """Counts by time window and type of Parquet event files arriving in path: all there is now, then stops.
+
+    Windows tumble, or slide by `slide`. Each batch writes the windows that it changed to a folder of its number in
+    `out`, again if it comes again, and the latest batch decides. The watermark bounds the state: events over an hour
+    older than the newest seen are dropped.
+    """
+    schema = spark.read.parquet(path).schema
+    events = spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    counted = events.withWatermark("ts", "1 hour").groupBy(F.window("ts", span, slide).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.select(F.col("w.start").alias("start"), "event_type", "n", "total").write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    counted.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).groupBy("start", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("r")).select("start", "event_type", "r.*")
+
+
+def sessions(spark: SparkSession, path: str, out: str, checkpoint: str, gap: str) -> DataFrame:
+    """Sessions of each user in Parquet event files arriving in path: events no further apart than `gap`; those that the watermark has closed."""
     schema = spark.read.parquet(path).schema
     events = spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
-    counted = events.withWatermark("ts", "1 hour").groupBy(F.window("ts", span).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    query = counted.select(F.col("w.start").alias("start"), "event_type", "n", "total").writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(table)
+    counted = events.withWatermark("ts", "1 hour").groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
+    flat = counted.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    flat.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(flat.schema).parquet(out)
