@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shalebed.functions.nested import json_text
+
 
 def expand(spec: str, every: list[str], aliases: dict[str, list[str]] | None = None) -> list[str]:
     """Columns of a comma list; `all` and aliases stand for several, each column is taken once. ValueError for others."""
@@ -66,3 +68,38 @@ def object_ranges(spec: str, flags: dict[str, str]) -> Column:
             one = one & ~F.col("type").isin(*(flags[x] for x in minus))
         out = out | one
     return out
+
+
+def dataset_order(name: str = "name", created: str = "created") -> list[Column]:
+    """Default order of datasets: by the name before @, a head before its snapshots, those by the time they were made (by name if that is 0)."""
+    head = F.substring_index(name, "@", 1)
+    return [head, F.when(F.col(name).contains("@"), 1).otherwise(0), F.when(F.col(name).contains("@"), F.col(created)), F.col(name)]
+
+
+def mount_order(mountpoint: str = "mountpoint", name: str = "name", unmount: bool = False) -> list[Column]:
+    """Mountpoints above before those below, rows without one last; for unmounting the other way round."""
+    keys = [F.col(mountpoint), F.col(name)]
+    return [k.desc_nulls_first() for k in keys] if unmount else [k.asc_nulls_last() for k in keys]
+
+
+#: Where a value may come from.
+SOURCES = ("local", "default", "inherited", "temporary", "received", "none")
+
+
+def source_kind(id_: str = "id", source: str = "source", temporary: str | None = None, received: str | None = None) -> Column:
+    """Where a value comes from: temporary or received flags first, then the node that set it, the default, or nothing (null)."""
+    own = F.when(F.col(source).isNull(), "none").when(F.col(source) == "default", "default").when(F.col(source) == F.col(id_), "local").otherwise("inherited")
+    if received:
+        own = F.when(F.col(received) & (own == "local"), "received").otherwise(own)
+    return F.when(F.col(temporary), "temporary").otherwise(own) if temporary else own
+
+
+def cheap(columns: list[str], sort: list[str], fast: tuple[str, ...] = ("name", "created", "kind")) -> bool:
+    """Whether a listing needs only columns that cost nothing to find."""
+    return set(columns) | set(sort) <= set(fast)
+
+
+def json_lines(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One JSON text for each row, 7-bit ASCII, null members null."""
+    row = F.struct(*columns)
+    return df.select(*columns, json_text(row, df.select(*columns).schema).alias("json"))

@@ -1,5 +1,5 @@
 """Queries over the driver's tables."""
 
-from shalebed.plans import catalog, logs, queries
+from shalebed.plans import catalog, logs, queries, tables
 
-__all__ = ["catalog", "logs", "queries"]
+__all__ = ["catalog", "logs", "queries", "tables"]
