@@ -100,25 +100,32 @@ def json_text(value: Column, type_: DataType) -> Column:
 Printer = Callable[[Column], Column]
 
 
+def _shown(value: Column, type_: DataType, printers: dict[str, Printer]) -> Column:
+    own = printers.get(type_.simpleString())
+    text = own(value) if own else F.concat(F.lit("'"), value, F.lit("'")) if isinstance(type_, StringType) else value.cast("string")
+    return F.coalesce(text, F.lit("null"))
+
+
+def _member(value: Column, name: str, type_: DataType, printers: dict[str, Printer], indent: int) -> Column:
+    pad = " " * indent
+    own = type_.simpleString() in printers
+    if isinstance(type_, StructType) and not own:
+        return F.concat(F.array(F.lit(f"{pad}{name}:")), lines(value, type_, printers, indent + 4))
+    if isinstance(type_, ArrayType) and not own:
+        item = type_.elementType
+        place = lambda i: F.concat(F.lit(f"{pad}{name}["), i.cast("string"), F.lit("]:"))
+        if isinstance(item, StructType):
+            return F.flatten(F.transform(value, lambda x, i: F.concat(F.array(place(i)), lines(x, item, printers, indent + 4))))
+        return F.transform(value, lambda x, i: F.concat(place(i), F.lit(" "), _shown(x, item, printers)))
+    return F.array(F.concat(F.lit(f"{pad}{name}: "), _shown(value, type_, printers)))
+
+
 def lines(value: Column, type_: StructType, printers: dict[str, Printer] | None = None, indent: int = 0) -> Column:
     """A nested value as an array of lines: `name: value`, strings quoted, members of a struct four blanks further in, items of an array as name[i].
 
     printers by type name (such as bigint) replace how values are written.
     """
-    pad = " " * indent
     parts = []
     for f in type_.fields:
-        v = value[f.name]
-        own = (printers or {}).get(f.dataType.simpleString())
-        shown = lambda x, t: (printers or {}).get(t.simpleString(), lambda y: F.concat(F.lit("'"), y, F.lit("'")) if isinstance(t, StringType) else y.cast("string"))(x)
-        if isinstance(f.dataType, StructType) and not own:
-            parts.append(F.concat(F.array(F.lit(f"{pad}{f.name}:")), lines(v, f.dataType, printers, indent + 4)))
-        elif isinstance(f.dataType, ArrayType) and not own:
-            item = f.dataType.elementType
-            if isinstance(item, StructType):
-                parts.append(F.flatten(F.transform(v, lambda x, i, f=f, item=item: F.concat(F.array(F.concat(F.lit(f"{pad}{f.name}["), i.cast("string"), F.lit("]:"))), lines(x, item, printers, indent + 4)))))
-            else:
-                parts.append(F.transform(v, lambda x, i, f=f, item=item: F.concat(F.lit(f"{pad}{f.name}["), i.cast("string"), F.lit("]: "), F.coalesce(shown(x, item), F.lit("null")))))
-        else:
-            parts.append(F.array(F.concat(F.lit(f"{pad}{f.name}: "), F.coalesce(shown(v, f.dataType), F.lit("null")))))
+        parts.append(_member(value[f.name], f.name, f.dataType, printers or {}, indent))
     return F.concat(*parts)

@@ -36,17 +36,12 @@ def human_count(x: Column | str) -> Column:
 
 
 def human_time(x: Column | str) -> Column:
-    """Nanoseconds as ns, us, ms or s in steps of 1000, at most three digits and a unit; a dash for 0."""
-    n = _c(x).cast("double")
-    out = F.lit("-")
-    for i, unit in enumerate(("ns", "us", "ms", "s")):
-        size = 1000.0**i
-        ratio = n / F.lit(size)
-        two, one = F.format_string("%.2f", ratio), F.format_string("%.1f", ratio)
-        whole = _c(x).cast("long") % F.lit(int(size)) == 0
-        text = F.when(whole, F.floor(ratio).cast("string")).when(F.length(two) <= 4, two).when(F.length(one) <= 4, one).otherwise(F.format_string("%.0f", ratio))
-        out = F.when(n >= size, F.concat(text, F.lit(unit))).otherwise(out)
-    return out
+    """Nanoseconds as whole ns, us, ms or s, rounded down; a dash for 0."""
+    n = _c(x).cast("long")
+    out = F.concat(n.cast("string"), F.lit("ns"))
+    for size, unit in ((1000, "us"), (1000_000, "ms"), (1000_000_000, "s")):
+        out = F.when(n >= size, F.concat(((n - n % size) / size).cast("long").cast("string"), F.lit(unit))).otherwise(out)
+    return F.when(n == 0, "-").otherwise(out)
 
 
 def parse_size(x: Column | str) -> Column:
