@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shalebed import storage
-from shalebed.functions import nested, packed, words
+from shalebed.functions import hashes, nested, packed, words
 from shalebed.functions import scalars as S
 from shalebed.operators import catalog, counters, dedup, hierarchy, history, intervals, objects, replication, snapshots, timeseries
 from shalebed.streaming import chain
@@ -290,3 +290,23 @@ def test_no_shared_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         storage.shared_dir(Session())
+
+
+def test_cyclic_codes(spark):
+    def slow(raw, h):
+        for b in raw:
+            h ^= b
+            for _ in range(8):
+                h = h >> 1 ^ (hashes.POLYNOMIAL if h & 1 else 0)
+        return h - (1 << 64) if h >> 63 else h
+
+    texts = ["", "a", "longer text é", "x" * 300, None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for salt in (1, 0xFEDCBA9876543210):
+        got = {r["t"]: r["h"] for r in df.select("t", hashes.crc64("t", salt).alias("h")).collect()}
+        assert got == {t: None if t is None else slow(t.encode(), salt) for t in texts}
+
+
+def test_permutations(spark):
+    got = spark.range(200).select(hashes.permutation("id", 99, 6).alias("p")).collect()
+    assert all(sorted(r["p"]) == list(range(6)) for r in got) and len({tuple(r["p"]) for r in got}) > 100
