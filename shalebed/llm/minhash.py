@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shalebed.llm.common import binary, block, id_and_text, materialize, mix, slices, words
@@ -17,7 +18,7 @@ from shalebed.llm.components import components
 
 #: A pair of Jaccard 0.85 escapes 20 bands of 4 with probability (1 - 0.85**4)**20 = 4e-7, one of 0.8 with 3e-5.
 BANDS, ROWS, WIDTH, PERCENT = 20, 4, 5, 85
-#: Members of a bucket that one task compares with as many others.
+#: Members of a bucket that one task compares with as many others; larger buckets are dealt anew by rare shingles.
 BLOCK = 384
 #: Members of a bucket that one task compares with the least id.
 STAR = 96
@@ -169,6 +170,54 @@ def _square(percent: int):
     return run
 
 
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        raw, offsets = block(batch.column(2))
+        ends = (offsets // 8).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(ends), pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(raw.tobytes(), np.int64)))], names=["id", "component", "n", "hashes"])
+
+
+def _prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """members (id, component) in buckets (band -1, key a shingle) that hold all pairs to be linked: the rarest shingles of each set.
+
+    Sets that share `percent` of their union share one of the first n - ceil(percent * n / 100) + 1 shingles of either in
+    any common order; with the rarest first, sets that have only common text together seldom meet.
+    """
+    listed = members.join(sets, "id").select("id", "component", "hashes").mapInArrow(_lists, "id long, component long, n int, hashes array<long>")
+    tokens = materialize(listed.select("id", "component", "n", F.explode("hashes").alias("key")), "tokens")
+    often = tokens.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
+    # A shingle that no other set has takes a place but makes no bucket; such ones come first.
+    shared = tokens.join(often, "key")
+    rank = F.row_number().over(W.partitionBy("id").orderBy("often", "key"))
+    place = rank + F.col("n") - F.count("*").over(W.partitionBy("id"))
+    first = shared.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    return materialize(first.select(F.lit(-1).alias("band"), "key", "id", "component"), "prefixes")
+
+
+def _stars(bucketed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) of members to the least id of their bucket; bucketed has band, key, id, hub and members."""
+    pairs = bucketed.where("id <> hub").groupBy("hub", "id").agg(F.max("members").alias("members"))
+    # Salted, so a task has about STAR members of one hub; the hub goes to each of its parts.
+    salted = pairs.withColumn("parts", F.ceil(F.col("members") / STAR).cast("int"))
+    tasks = salted.select("hub", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id")
+    centers = tasks.select("hub", "parts", "part").distinct().withColumn("id", F.col("hub"))
+    return materialize(tasks.unionByName(centers).join(sets, "id").groupBy("hub", "parts", "part").applyInPandas(_star(percent), "u long, v long"), "stars")
+
+
+def _open(placed: DataFrame) -> DataFrame:
+    """band, key and members of the buckets of placed (band, key, id, component) that hold several components; of those with the same members one."""
+    mixed = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s")).where("lo <> hi")
+    return materialize(mixed.groupBy("members", "x", "s").agg(F.min(F.struct("band", "key")).alias("one")).select("one.band", "one.key", "members"), "open")
+
+
+def _squares(placed: DataFrame, open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across components within open buckets, member by member, in blocks: each block meets each block once."""
+    single = open_.select("band", "key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    member = placed.join(single, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
+    meets = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "block")
+    return materialize(meets.join(sets, "id").groupBy("band", "key", "i", "j").applyInPandas(_square(percent), "u long, v long"), "crossed")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Classes of documents linked by 100 * intersection >= percent * union of their distinct word shingles.
 
@@ -177,8 +226,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     class from the start, so copies cost nothing later; repeated rows with one doc_id give equal rows. A row whose
     doc_id is null gets component_id null, kept false and takes part in no link. An empty table gives no rows.
 
-    Buckets of the bands first verify every member against the bucket's least id. Only buckets that still hold members
-    of several components are compared member by member, in blocks, across components, on full sets.
+    Buckets of the bands first verify every member against the bucket's least id. Buckets that still hold members of
+    several components are compared member by member, across components, on full sets, if they have at most BLOCK
+    members. Members of larger ones meet anew, and only there, in buckets of their rarest shingles, which miss no link.
     """
     texts = id_and_text(docs)
     sketched = materialize(texts.mapInArrow(_sketch(bands, rows, width), "doc_id long, n_shingles long, digest binary, keys array<long>"), "sketch")
@@ -189,22 +239,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     bucketed = materialize(banded.join(hubs, ["band", "key"]), "bucketed")
     ids = bucketed.select("id").distinct()
     sets = materialize(texts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "id long, hashes binary"), "sets")
-    pairs = bucketed.where("id <> hub").groupBy("hub", "id").agg(F.max("members").alias("members"))
-    # Salted, so a task has about STAR members of one hub; the hub goes to each of its parts.
-    salted = pairs.withColumn("parts", F.ceil(F.col("members") / STAR).cast("int"))
-    tasks = salted.select("hub", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id")
-    centers = tasks.select("hub", "parts", "part").distinct().withColumn("id", F.col("hub"))
-    compared = materialize(tasks.unionByName(centers).join(sets, "id").groupBy("hub", "parts", "part").applyInPandas(_star(percent), "u long, v long"), "stars")
+    compared = _stars(bucketed, sets, percent)
     first = materialize(components(compared), "first")
     placed = bucketed.join(first, "id", "left").select("band", "key", "id", F.coalesce("component", "id").alias("component"))
-    open_ = materialize(placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s")).where("lo <> hi"), "open")
-    # Buckets with the same members need one comparison.
-    single = open_.groupBy("members", "x", "s").agg(F.min(F.struct("band", "key")).alias("one")).select("one.band", "one.key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    member = placed.join(materialize(single, "single"), ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
-    # Each block meets each block once: i <= j.
-    meets = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "block")
-    crossed = materialize(meets.join(sets, "id").groupBy("band", "key", "i", "j").applyInPandas(_square(percent), "u long, v long"), "crossed")
-    linked = materialize(components(compared.unionByName(crossed)), "linked")
+    open_ = _open(placed)
+    links = compared.unionByName(_squares(placed, open_.where(F.col("members") <= BLOCK), sets, percent))
+    large = open_.where(F.col("members") > BLOCK)
+    if not large.isEmpty():
+        again = placed.join(large.select("band", "key"), ["band", "key"]).select("id", "component").distinct()
+        held = _prefixes(again, sets, percent)
+        groups = held.groupBy("band", "key").agg(F.min("id").alias("hub"), F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").drop("lo", "hi")
+        links = links.unionByName(_stars(held.join(groups, ["band", "key"]), sets, percent))
+        found = materialize(components(links), "second")
+        moved = materialize(held.drop("component").join(found, "id", "left").select("band", "key", "id", F.coalesce("component", "id").alias("component")), "moved")
+        links = links.unionByName(_squares(moved, _open(moved), sets, percent))
+    linked = materialize(components(links), "linked")
     of_class = classes.join(linked.withColumnRenamed("component", "least"), "id", "left").select("digest", F.coalesce("least", "id").alias("least"))
     return (
         sketched.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest"))
