@@ -29,6 +29,8 @@ LENGTH, GRAM = 50, 24
 SIDE = (LENGTH - GRAM) // 2
 #: Bytes of text whose anchors are gathered before they are sent.
 FLUSH = 4 << 20
+#: Bytes of text whose anchors make a part, on average.
+PART = 16 << 20
 
 
 class Anchors:
@@ -412,10 +414,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
     whole. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    parts = 8 * partitions(spark)
     texts = id_and_text(docs)
     several = texts.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b")).where("a <> b").select("doc_id")
     numbered = texts.where("doc_id is not null").join(materialize(several, "several"), "doc_id", "left_anti")
+    # A task holds a part's anchors whole, about one in 14 bytes of text.
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
+    parts = max(8 * partitions(spark), -(-int(size) // PART))
     sent = numbered.mapInArrow(_send_anchors(length, gram, parts), "part int, hashes binary, sides binary, docs binary, places binary, doc_id long")
     marks = sent.groupBy("part").applyInPandas(_mark, "doc_id long, places binary")
     by_doc = materialize(marks.groupBy("doc_id").agg(F.collect_list("places").alias("places")), "marks")
