@@ -40,8 +40,10 @@ def at_least_bucketed(df: DataFrame, k: int, width: int) -> DataFrame:
     carried = sums.select("bucket", (F.sum("s").over(order) - F.col("s")).alias("before"), F.lead("first").over(order).alias("next"))
     line = W.partitionBy("bucket").orderBy("pos")
     parts = points.join(carried, "bucket").select("bucket", F.col("pos").alias("start"), F.coalesce(F.lead("pos").over(line), "next").alias("end"), (F.sum("n").over(line) + F.col("before")).alias("n")).where(F.col("n") >= k)
-    local = coalesce(parts, ["bucket"])
-    return coalesce(local.drop("bucket"), [])
+    local = coalesce(parts, ["bucket"]).withColumn("i", F.row_number().over(W.partitionBy("bucket").orderBy("start"))).withColumn("n", F.count("*").over(W.partitionBy("bucket")))
+    # Only the first and the last range of a bucket may go on in another.
+    edge = (F.col("i") == 1) | (F.col("i") == F.col("n"))
+    return local.where(~edge).select("start", "end").unionByName(coalesce(local.where(edge).select("start", "end"), []))
 
 
 def difference(df: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shalebed.functions.nested import json_text
+from shalebed.operators.ranking import numbered
 
 
 def expand(spec: str, every: list[str], aliases: dict[str, list[str]] | None = None) -> list[str]:
@@ -32,10 +32,10 @@ def order(sort: list[tuple[str, bool]], valid: dict[str, Column] | None = None,
 def lines(df: DataFrame, columns: list[str], keys: list[Column], numeric: tuple[str, ...] = (), script: bool = False) -> DataFrame:
     """line and value: with script, tabs and no header; else a header (line 0) and columns as wide as their widest value.
 
-    Nulls are shown as a dash. Numbering is for listings that people read: it orders all rows in one task.
+    Nulls are shown as a dash.
     """
     shown = [F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c) for c in columns]
-    rows = df.select(F.row_number().over(W.orderBy(*keys)).alias("line"), *shown)
+    rows = numbered(df, keys, "line").select(F.col("line").cast("int").alias("line"), *shown)
     if script:
         return rows.select("line", F.concat_ws("\t", *columns).alias("value"))
     widest = rows.agg(*(F.max(F.length(c)).alias(c) for c in columns)).first()

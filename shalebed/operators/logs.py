@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shalebed.operators import hierarchy
+from shalebed.operators.ranking import numbered
 
 
 def reload(base: DataFrame, log: DataFrame, key: str, seq: str, value: str) -> DataFrame:
@@ -59,7 +60,7 @@ def gather(requests: DataFrame, keys: list[str], gap: int, most: int) -> DataFra
 
 def elevator(requests: DataFrame, offset: str, last: int) -> DataFrame:
     """requests with place: those at or after the last offset first, then from the lowest on."""
-    return requests.withColumn("place", F.row_number().over(W.orderBy(F.col(offset) < last, offset)))
+    return numbered(requests, [(F.col(offset) < last).asc(), F.col(offset).asc()], "place")
 
 
 def inherited_changes(tree: DataFrame, before: DataFrame, after: DataFrame, default: str) -> DataFrame:

@@ -34,7 +34,9 @@ def event_ring(t):
     return logs.ring_next(t("events"), "event_id", 100, 500, 20).select("event_id", "event_type", "dropped")
 
 
-@query()
+@query("""WITH RECURSIVE q AS (SELECT l_suppkey, l_partkey * 40 AS s, l_partkey * 40 + l_quantity::BIGINT AS e FROM lineitem), o AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY s, e) AS k FROM q),
+r AS (SELECT l_suppkey, k, s AS a, e AS b, 1 AS run FROM o WHERE k = 1 UNION ALL SELECT o.l_suppkey, o.k, CASE WHEN o.s - r.b <= 60 AND greatest(o.e, r.b) - r.a <= 1000 THEN r.a ELSE o.s END, CASE WHEN o.s - r.b <= 60 AND greatest(o.e, r.b) - r.a <= 1000 THEN greatest(o.e, r.b) ELSE o.e END, CASE WHEN o.s - r.b <= 60 AND greatest(o.e, r.b) - r.a <= 1000 THEN r.run ELSE r.run + 1 END FROM r JOIN o ON o.l_suppkey = r.l_suppkey AND o.k = r.k + 1)
+SELECT l_suppkey, min(a) AS "start", max(b) AS "end", count(*) AS n FROM r GROUP BY l_suppkey, run""")
 def io_gather(t):
     r = t("lineitem").select("l_suppkey", (F.col("l_partkey") * 40).alias("start"), (F.col("l_partkey") * 40 + F.col("l_quantity").cast("long")).alias("end"))
     return logs.gather(r, ["l_suppkey"], 60, 1000)

@@ -114,13 +114,13 @@ def _sides(t) -> tuple[DataFrame, DataFrame]:
 @query(f"WITH {_CLICK} SELECT event_id, c.user_id, s, p.t AS at_floor, p.v AS value_floor FROM c ASOF LEFT JOIN p ON c.user_id = p.user_id AND c.s >= p.t")
 def asof_floor(t):
     a, b = _sides(t)
-    return asof.asof(a, b, ["user_id"], "s", "event_id", "floor")
+    return asof.asof(a, b, ["user_id"], "s", "event_id", "floor", 21600)
 
 
 @query(f"WITH {_CLICK} SELECT event_id, c.user_id, s, p.t AS at_ceiling, p.v AS value_ceiling FROM c ASOF LEFT JOIN p ON c.user_id = p.user_id AND c.s <= p.t")
 def asof_ceiling(t):
     a, b = _sides(t)
-    return asof.asof(a, b, ["user_id"], "s", "event_id", "ceiling")
+    return asof.asof(a, b, ["user_id"], "s", "event_id", "ceiling", 21600)
 
 
 @query(f"WITH {_CLICK}, r AS (SELECT event_id, c.user_id, s, p.t, p.v, row_number() OVER (PARTITION BY event_id ORDER BY abs(s - p.t), p.t) AS n FROM c LEFT JOIN p ON c.user_id = p.user_id) SELECT event_id, user_id, s, t AS at_nearest, v AS value_nearest FROM r WHERE n = 1")
