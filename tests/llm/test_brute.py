@@ -138,19 +138,55 @@ def test_chunks_by_definition(spark):
     assert copies and all(sum(s["end"] - s["start"] for s in got[d]["spans"]) >= 0.9 * len(t.encode()) for d, t in copies)
 
 
-def test_language_model_is_a_distribution(spark):
-    """Chances of all words after any history sum to 1: all that are in the model, those that are counted, and all others."""
-    rows = [(i, f"the cat {i % 9} sat on the mat with {i % 5} others {'and more' * (i % 2)}") for i in range(200)]
+def bigram(rows):
+    """log10 chances of held-out texts by an interpolated bigram of the others: a history's followers take n of n + kinds of its chance."""
+    tokens = {d: [*WORDS.findall(t.translate(LOWER)), ""] for d, t in rows}
+    held = {d for d, _ in rows if zlib.crc32(str(d).encode()) % 7 == 2}
+    count, pairs, total, kinds = {}, {}, {}, {}
+    for d in tokens.keys() - held:
+        before = None
+        for w in tokens[d]:
+            count[w] = count.get(w, 0) + 1
+            kinds[before] = kinds.get(before, 0) + ((before, w) not in pairs)
+            pairs[before, w] = pairs.get((before, w), 0) + 1
+            total[before] = total.get(before, 0) + 1
+            before = w
+    n = sum(count.values())
+    out = 0.0
+    for d in held:
+        before = None
+        for w in tokens[d]:
+            alone = (count.get(w, 0) + 1) / (n + len(count) + 1)
+            h, k = total.get(before, 0), kinds.get(before, 0)
+            out += np.log10((pairs.get((before, w), 0) + k * alone) / (h + k) if h else alone)
+            before = w
+    return out
+
+
+def test_language_model_beats_a_bigram(spark):
+    """On the held-out texts of sf0.01."""
+    sf = "/root/testdata/sf0.01"
+    rows = duckdb.sql(f"select doc_id, coalesce(text, '') from '{sf}/documents.parquet'").fetchall()
+    got = QUERIES["op2_lm_scoring"](spark, sf).where("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
+    assert got["score"] > bigram(rows) > got["base"]
+
+
+def test_language_model_is_a_distribution():
+    """Chances of all words after any history sum to 1."""
+    rng = np.random.default_rng(5)
+    counts = np.sort(rng.integers(1, 400, 150))[::-1].astype(np.int64)
+    model = maxent.Model([f"w{i}".encode() for i in range(150)], counts, int(counts.sum()) + 77, 190)
+    word = rng.integers(0, 151, 6000)
+    one, two = model.history(word, np.full(60, 100))
+    skip = two % 7
+    for history, after in ((3, 1), (model.begin, 2), (150, 0), (999, 5)):
+        every = np.arange(151)
+        log = maxent.log_chances(model, np.concatenate([one, np.full(151, history)]), np.concatenate([skip, np.full(151, after)]), np.concatenate([word, every]), np.arange(6151) < 6000)
+        assert abs((10.0 ** log[6000:]).sum() - 1) < 1e-5
+
+
+def test_language_model_does_not_depend_on_tasks(spark):
+    rows = [(i, f"the cat {i % 9} sat on the mat with {i % 5} others {'and more ' * (i % 3)}") for i in range(300)]
     docs = frame(spark, rows)
-    counts = maxent.word_counts(docs)
-    model = maxent.train(docs, counts)
-    words = [w for w in model.number] + [b""]
-    words = list(dict.fromkeys(words))
-    for history in (b"", b"the cat", b"never seen"):
-        total = 0.0
-        for w in words:
-            text = (history + b" " + w).strip() if w else history
-            number, size, _ = model.read([text.decode()])
-            log = model.log10(number, size)
-            total += 10 ** (log[-2] if w else log[-1])
-        assert 0.9 < total <= 1.0 + 1e-6
+    runs = [{r["doc_id"]: r["score"] for r in maxent.score_documents(d).collect()} for d in (docs.coalesce(1), docs.repartition(7))]
+    assert all(abs(runs[0][i] - runs[1][i]) < 1e-4 for i in runs[0])
