@@ -415,10 +415,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
     """
     spark = docs.sparkSession
     texts = id_and_text(docs)
-    several = texts.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b")).where("a <> b").select("doc_id")
-    numbered = texts.where("doc_id is not null").join(materialize(several, "several"), "doc_id", "left_anti")
+    hashed = F.xxhash64("text")
+    each = texts.groupBy("doc_id").agg(F.min(hashed).alias("a"), F.max(hashed).alias("b"), F.sum(F.octet_length("text")).alias("bytes"))
+    each = materialize(each.select("doc_id", "bytes", (F.col("a") != F.col("b")).alias("several")), "each")
+    numbered = texts.where("doc_id is not null").join(each.where("several").select("doc_id"), "doc_id", "left_anti")
     # A task holds a part's anchors whole, about one in 14 bytes of text.
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
+    size = each.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()["bytes"]
     parts = max(8 * partitions(spark), -(-int(size) // PART))
     sent = numbered.mapInArrow(_send_anchors(length, gram, parts), "part int, hashes binary, sides binary, docs binary, places binary, doc_id long")
     marks = sent.groupBy("part").applyInPandas(_mark, "doc_id long, places binary")
