@@ -418,7 +418,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
     hashed = F.xxhash64("text")
     each = texts.groupBy("doc_id").agg(F.min(hashed).alias("a"), F.max(hashed).alias("b"), F.sum(F.octet_length("text")).alias("bytes"))
     each = materialize(each.select("doc_id", "bytes", (F.col("a") != F.col("b")).alias("several")), "each")
-    numbered = texts.where("doc_id is not null").join(each.where("several").select("doc_id"), "doc_id", "left_anti")
+    several = materialize(each.where("several").select("doc_id"), "several")  # a table of its own, so Spark sees how small it is
+    numbered = texts.where("doc_id is not null").join(several, "doc_id", "left_anti")
     # A task holds a part's anchors whole, about one in 14 bytes of text.
     size = each.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()["bytes"]
     parts = max(8 * partitions(spark), -(-int(size) // PART))
