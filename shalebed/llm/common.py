@@ -64,12 +64,12 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def keyed(docs: DataFrame, key: str) -> DataFrame:
-    """docs with a long column `key` that no two rows share: doc_id where each row has one of its own, else a row number of a written table."""
+def keyed(docs: DataFrame, key: str) -> tuple[DataFrame, bool]:
+    """docs with a long column `key` that no two rows share: doc_id where each row has one of its own, else (and true) a row number of a written table."""
     odd = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("doc_id is null or rows > 1")
     if odd.isEmpty():
-        return docs.withColumn(key, F.col("doc_id").cast("long"))
-    return materialize(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+        return docs.withColumn(key, F.col("doc_id").cast("long")), False
+    return materialize(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), True
 
 
 def partitions(spark: SparkSession) -> int:

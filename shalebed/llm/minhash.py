@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shalebed.llm.common import binary, block, id_and_text, materialize, mix, slices, words
+from shalebed.llm.common import binary, block, id_and_text, keyed, materialize, mix, slices, words
 from shalebed.llm.common import Rolling
 from shalebed.llm.components import components
 
@@ -223,13 +223,25 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
 
     docs has doc_id and text and may have more columns, which are not read. Returns doc_id, n_shingles, component_id,
     kept. A null or empty text, or one of white space, has no shingles and is its own class. Rows with equal sets are one
-    class from the start, so copies cost nothing later; repeated rows with one doc_id give equal rows. A row whose
-    doc_id is null gets component_id null, kept false and takes part in no link. An empty table gives no rows.
+    class from the start, so copies cost nothing later; repeated rows with one doc_id give equal rows. Different texts
+    of one doc_id are linked each for itself, and component_id is the least doc_id of a row's class. A row whose doc_id
+    is null gets component_id null, kept false and takes part in no link. An empty table gives no rows.
 
     Buckets of the bands first verify every member against the bucket's least id. Buckets that still hold members of
     several components are compared member by member, across components, on full sets, if they have at most BLOCK
     members. Members of larger ones meet anew, and only there, in buckets of their rarest shingles, which miss no link.
     """
+    rows_, odd = keyed(docs.select("doc_id", "text"), "row")
+    found = _classes(rows_.select(F.when(F.col("doc_id").isNotNull(), F.col("row")).alias("doc_id"), "text"), percent, width, bands, rows)
+    if odd:
+        named = materialize(found.withColumnRenamed("doc_id", "row").join(rows_.select("row", F.col("doc_id").cast("long").alias("doc_id")), "row", "left"), "named")
+        least = named.groupBy("component_id").agg(F.min("doc_id").alias("least"))
+        found = named.join(least, "component_id", "left").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def _classes(docs: DataFrame, percent: int, width: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, n_shingles and component_id of near_duplicates, for ids that are null or no other row's."""
     texts = id_and_text(docs)
     sketched = materialize(texts.mapInArrow(_sketch(bands, rows, width), "doc_id long, n_shingles long, digest binary, keys array<long>"), "sketch")
     classes = materialize(sketched.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
@@ -259,5 +271,4 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
         sketched.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest"))
         .join(of_class, "digest", "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     )

@@ -59,3 +59,12 @@ def test_rare_shingles_hold_every_link(spark):
             both = len(np.intersect1d(sets[i], sets[j]))
             if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
                 assert any({i, j} <= ids for ids in held.values())
+
+
+def test_one_id_with_several_texts(spark):
+    words = [f"w{i}" for i in range(40)]
+    other = [f"v{i}" for i in range(40)]
+    rows = [(5, " ".join(words)), (5, " ".join(other)), (3, " ".join([*words, "end"])), (9, " ".join(["begin", *other])), (None, " ".join(words)), (7, " ".join(other)), (7, " ".join(other))]
+    got = sorted(map(tuple, minhash.near_duplicates(frame(spark, rows)).collect()), key=repr)
+    n = 36
+    assert got == sorted([(5, n, 3, False), (5, n, 5, True), (3, n + 1, 3, True), (9, n + 1, 5, False), (None, n, None, False), (7, n, 5, False), (7, n, 5, False)], key=repr)
