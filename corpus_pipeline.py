@@ -31,7 +31,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Rows without an id or with one that other rows have too are documents of their own. Texts without words have no
     copies and all stay, as null, empty or blank as they are. An empty table gives no rows.
     """
-    rows = keyed(docs.select(*COLUMNS), "row")
+    rows, _ = keyed(docs.select(*COLUMNS), "row")
     near = minhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), NEAR).select(F.col("doc_id").alias("row"), "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("hash"), "row")
     kept = rows.join(near, "row").groupBy("component_id").agg(F.min(order).alias("first")).select("first.row")
@@ -56,7 +56,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are mixed one by one, also those without an id or with one that others have. Texts without words have nothing
     to take and are left out, as are rows of which the mix takes nothing. An empty table gives no rows.
     """
-    rows = keyed(docs.select(*COLUMNS), "row")
+    rows, _ = keyed(docs.select(*COLUMNS), "row")
     taken = mixing.mix_sources(rows, carry=("row",)).where("taken > 0").select("row", "size", "taken")
     times = F.ceil(F.col("taken") / F.col("size")).cast("int")
     joined = rows.join(taken, "row").withColumn("time", F.explode(F.sequence(F.lit(1), times)))
