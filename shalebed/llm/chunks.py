@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shalebed.llm.common import binary, block, digests, id_and_text, materialize, slices
+from shalebed.llm.common import block, digests, id_and_text, materialize, slices
 
 #: A chunk has LEAST to MOST bytes; one byte in 2**CUT_BITS ends one, so they have about 48.
 LEAST, MOST, CUT_BITS = 16, 160, 5

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from shalebed.llm.common import binary, block, id_and_text, materialize, partitions, shared_dir, spread
+from shalebed.llm.common import binary, id_and_text, materialize, partitions, shared_dir, spread
 
 #: Ids of a block, which is decoded on its own, and of a part.
 BLOCK, PART = 512, 1 << 20

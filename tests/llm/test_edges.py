@@ -5,7 +5,6 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from shalebed.llm import chunks, huffman, imatch, lattice, maxent, minhash, mixing, pieces, quality, suffix
 
@@ -29,16 +28,6 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "en", None if i == 6 else f"s{(i or 0) % 3}", len(t or ""), 1, "x", 2, 3, "w") for i, t in rows], SCHEMA)
 
 
-@pytest.mark.parametrize("name", RUNS)
-def test_edge_rows(spark, name):
-    got = RUNS[name](frame(spark, TEXTS))
-    if name != "pieces":
-        assert got.count() == len(TEXTS)
-    else:
-        assert got.where("not round_trip").count() == 0
-        assert got.where("rank = 0").count() == len(TEXTS)
-
-
 @pytest.mark.parametrize("name", RUNS)
 def test_empty_table(spark, name):
     assert RUNS[name](frame(spark, [])).count() == 0

@@ -1,6 +1,5 @@
 """Each stage of the pipeline against brute force, with null and repeated ids, and on an empty table."""
 
-import hashlib
 import re
 
 import numpy as np
