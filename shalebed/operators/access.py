@@ -26,7 +26,8 @@ def allowed(tree: DataFrame, grants: DataFrame, sets: DataFrame, groups: DataFra
     asked = requests.select("id", "who", "perm").distinct()
     # The few names of each asking user, then the grants by node, name and permission.
     names = asked.select("who").distinct().select("who", F.explode(F.array("who", F.lit("everyone"))).alias("_to")).unionByName(groups.select("who", F.col("member_of").alias("_to"))).distinct()
-    hits = asked.join(closure(tree), "id").join(names, "who").join(flat, ["ancestor", "_to", "perm"]).where(F.when(F.col("distance") == 0, F.col("scope").isin("local", "both")).otherwise(F.col("scope").isin("below", "both")))
+    # Requests and paths grow with the tree and are larger than their files tell, so neither is sent to all tasks.
+    hits = asked.join(closure(tree).hint("merge"), "id").join(names, "who").join(flat, ["ancestor", "_to", "perm"]).where(F.when(F.col("distance") == 0, F.col("scope").isin("local", "both")).otherwise(F.col("scope").isin("below", "both")))
     return asked.join(hits.select("id", "who", "perm", F.lit(True).alias("allowed")).distinct(), ["id", "who", "perm"], "left").select("id", "who", "perm", F.coalesce("allowed", F.lit(False)).alias("allowed"))
 
 

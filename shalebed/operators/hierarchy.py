@@ -13,7 +13,8 @@ from shalebed.storage import materialize
 def closure(tree: DataFrame) -> DataFrame:
     """id, ancestor and distance (0 for itself) at any depth, by doubling: each step joins paths of up to twice the length.
 
-    Steps are written out, so none is computed twice. ValueError if a node is its own ancestor.
+    Steps are written out, so none is computed twice, and joined by sorting, for their files are much smaller than their
+    rows. ValueError if a node is its own ancestor.
     """
     up = tree.where("parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
     steps = [materialize(up, "paths")]
@@ -23,7 +24,7 @@ def closure(tree: DataFrame) -> DataFrame:
             raise ValueError("a node is its own ancestor")
         far = steps[-1].where(F.col("distance") == reach).select("id", F.col("ancestor").alias("via"))
         paths = reduce(DataFrame.unionByName, steps)
-        more = far.join(paths.select(F.col("id").alias("via"), "ancestor", F.col("distance").alias("d")), "via").select("id", "ancestor", (F.col("d") + reach).alias("distance"))
+        more = far.join(paths.select(F.col("id").alias("via"), "ancestor", F.col("distance").alias("d")).hint("merge"), "via").select("id", "ancestor", (F.col("d") + reach).alias("distance"))
         more = materialize(more, "paths")
         if more.isEmpty():
             return tree.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance")).unionByName(paths)
