@@ -18,27 +18,22 @@ def bucket(x: Column | str) -> Column:
 
 
 def fixed(x: Column, digits: int) -> Column:
-    """A double from 1 to 1024 with so many decimals, rounded as its exact binary value lies, ties to even."""
-    whole = F.floor(x)
-    # The fraction in units of 2**-52 is a whole number, and a hundred of it fits into 64 bits.
-    part = ((x - whole) * F.lit(2.0**52)).cast("long") * 10**digits
-    number, rest = whole * 10**digits + F.shiftright(part, 52), part.bitwiseAND(F.lit((1 << 52) - 1))
-    number = number + F.when((rest > 1 << 51) | ((rest == 1 << 51) & (number % 2 == 1)), 1).otherwise(0)
-    if not digits:
-        return number.cast("string")
-    low = number % 10**digits
-    return F.concat(((number - low) / 10**digits).cast("long").cast("string"), F.lit("."), F.lpad(low.cast("string"), digits, "0"))
+    """A double with so many decimals, rounded as its exact binary value lies, ties to even."""
+    return F.call_function("format_number", x, F.lit("0." + "0" * digits if digits else "0"))
 
 
 def human_size(x: Column | str, base: int = 1024) -> Column:
-    """Bytes in powers of 1024 (or another base) within five columns: exact multiples whole, else two, one or no decimals."""
+    """Bytes in powers of 1024 (or another base) within five columns: exact multiples whole, else two, one or no decimals.
+
+    Whole numbers beyond 64 bits may come as decimals.
+    """
     n = _c(x).cast("decimal(38,0)")
     out = n.cast("string")
     for i, unit in enumerate(UNITS, 1):
         size = base**i
         ratio = n.cast("double") / F.lit(float(size))
         two, one = fixed(ratio, 2), fixed(ratio, 1)
-        text = F.when(n % size == 0, (n / size).cast("long").cast("string")).when(F.length(two) <= 4, two).when(F.length(one) <= 4, one).otherwise(fixed(ratio, 0))
+        text = F.when(n % size == 0, F.call_function("div", n, F.lit(size)).cast("string")).when(F.length(two) <= 4, two).when(F.length(one) <= 4, one).otherwise(fixed(ratio, 0))
         out = F.when(n >= size, F.concat(text, F.lit(unit))).otherwise(out)
     return out
 
@@ -49,11 +44,11 @@ def human_count(x: Column | str) -> Column:
 
 
 def human_time(x: Column | str) -> Column:
-    """Nanoseconds as whole ns, us, ms or s, rounded down; a dash for 0."""
-    n = _c(x).cast("long")
+    """Nanoseconds as whole ns, us, ms or s, rounded down; a dash for 0. Whole numbers beyond 64 bits may come as decimals."""
+    n = _c(x).cast("decimal(38,0)")
     out = F.concat(n.cast("string"), F.lit("ns"))
     for size, unit in ((1000, "us"), (1000_000, "ms"), (1000_000_000, "s")):
-        out = F.when(n >= size, F.concat(((n - n % size) / size).cast("long").cast("string"), F.lit(unit))).otherwise(out)
+        out = F.when(n >= size, F.concat(F.call_function("div", n, F.lit(size)).cast("string"), F.lit(unit))).otherwise(out)
     return F.when(n == 0, "-").otherwise(out)
 
 

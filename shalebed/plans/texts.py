@@ -25,7 +25,8 @@ def _human(x: str, base: int, units: str, first: str = "") -> str:
 
 @query(f"SELECT l_orderkey, l_linenumber, {_human('v', 1024, 'K,M,G,T,P,E')} AS bytes, {_human('v', 1000, 'K,M,G,T,P,E')} AS counted, CASE WHEN v = 0 THEN '-' WHEN v >= 1000000000 THEN v // 1000000000 || 's' WHEN v >= 1000000 THEN v // 1000000 || 'ms' WHEN v >= 1000 THEN v // 1000 || 'us' ELSE v || 'ns' END AS time FROM (SELECT l_orderkey, l_linenumber, (l_partkey * l_orderkey * 1009 * (1 + l_linenumber * 997))::BIGINT AS v FROM lineitem)")
 def human_numbers(t):
-    v = t("lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") * F.col("l_orderkey") * 1009 * (1 + F.col("l_linenumber") * 997)).cast("long").alias("v"))
+    # As a decimal, for the product of long keys leaves 64 bits.
+    v = t("lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey").cast("decimal(15,0)") * F.col("l_orderkey").cast("decimal(15,0)") * ((1 + F.col("l_linenumber") * 997) * 1009).cast("decimal(8,0)")).alias("v"))
     return v.select("l_orderkey", "l_linenumber", S.human_size("v").alias("bytes"), S.human_count("v").alias("counted"), S.human_time("v").alias("time"))
 
 
