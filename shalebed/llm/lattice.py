@@ -2,10 +2,14 @@
 
 A cell is a row of one or more points of E8, each the decoding of eight projections. More points make smaller cells,
 which then need more tables: the more vectors, the smaller the cells, so the share of pairs that are compared falls.
+
+Vectors meet in rounds, each of some tables and a range of their cells, whose shuffle is about as large as the vectors
+themselves; what a round wrote goes when it is merged. Rounds yield components. Links are then counted inside them.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -16,8 +20,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shalebed.llm.common import binary, materialize, mix, partitions
+from shalebed.llm.common import binary, discard, materialize, mix, partitions
 from shalebed.llm.components import components
 from shalebed.llm.minhash import spanning
 
@@ -47,6 +52,8 @@ SETTINGS = (
 THRESHOLD = 0.9
 #: Vectors of a cell that are compared with as many others at once, and rows that a task compares.
 BLOCK, PART = 512, 1 << 16
+#: Bytes of a round's shuffle at least; it is as large as all vectors where they are larger.
+ROUND = 128 << 20
 
 
 def _minimal() -> np.ndarray:
@@ -80,17 +87,21 @@ def setting(n: int) -> Setting:
     return min(SETTINGS, key=lambda s: s.cost(n))
 
 
-def cells(unit: np.ndarray, how: Setting, threshold: float = THRESHOLD, seed: int = 8) -> np.ndarray:
-    """Keys of the home cell and of the nearest neighbouring cells of unit vectors, table by table.
+def cells(unit: np.ndarray, how: Setting, threshold: float = THRESHOLD, seed: int = 8, own: range | None = None) -> np.ndarray:
+    """Keys of the home cell and of the nearest neighbouring cells of unit vectors, table by table, of all tables or those in own.
 
     A neighbour differs from home in one of its points, by a shortest vector of E8; the nearest ones of all points count.
     """
     rng = np.random.default_rng([seed, unit.shape[1]])
     scale = how.scale * math.sqrt((1 - THRESHOLD) / (1 - min(threshold, 1 - 1e-6)))
-    out = np.empty((len(unit), how.tables, how.count), np.uint64)
+    own = own or range(how.tables)
+    out = np.empty((len(unit), len(own), how.count), np.uint64)
     salt = rng.integers(1, 2**62, (how.tables, how.points, 8), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     wide = min(how.count - 1, len(_SHORT))
-    for t in range(how.tables):
+    for t in range(own.stop):
+        if t not in own:
+            rng.standard_normal((how.points, unit.shape[1], 8))  # the projections of a table are the same whichever are asked for
+            continue
         home = np.full(len(unit), t + unit.shape[1] * 64, np.uint64)
         steps, gains = [], []
         for k in range(how.points):
@@ -103,76 +114,135 @@ def cells(unit: np.ndarray, how: Setting, threshold: float = THRESHOLD, seed: in
             steps.append(((np.rint(_SHORT * 2).astype(np.int64).view(np.uint64) * salt[t, k]).sum(-1, dtype=np.uint64))[best])
         gain, step = np.concatenate(gains, 1), np.concatenate(steps, 1)
         best = np.argsort(-gain, axis=1, kind="stable")[:, : how.count - 1]
-        out[:, t, 0] = home
-        out[:, t, 1:] = home[:, None] + np.take_along_axis(step, best, 1)
-    return mix(out.reshape(len(unit), how.tables * how.count))
+        out[:, t - own.start, 0] = home
+        out[:, t - own.start, 1:] = home[:, None] + np.take_along_axis(step, best, 1)
+    return mix(out.reshape(len(unit), len(own) * how.count))
+
+
+def _unit(raw: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in double precision."""
+    m = raw.astype(np.float64)
+    most = np.abs(m).max(1, keepdims=True)
+    return m / np.linalg.norm(m / most, axis=1, keepdims=True) / most
+
 
+def _hash(how: Setting, threshold: float, own: range, kind: str):
+    """id, copies, cells of the tables in own, and the vector's bytes."""
 
-def _hash(how: Setting, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = batch.column(1)
             sizes = np.diff(vectors.offsets.to_numpy())
-            values = vectors.flatten().to_numpy().astype(np.float64)
+            values = vectors.flatten().to_numpy()
             begin = np.cumsum(sizes) - sizes
             keys: list = [None] * batch.num_rows
             raw: list = [None] * batch.num_rows
             for size in np.unique(sizes):
                 rows = np.flatnonzero(sizes == size)
-                m = values[begin[rows][:, None] + np.arange(size)]
-                m = m / np.linalg.norm(m / np.abs(m).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(m).max(1, keepdims=True)
-                for r, k, v in zip(rows.tolist(), cells(m, how, threshold), m):
+                m = values[begin[rows][:, None] + np.arange(size)].astype(kind)
+                for r, k, v in zip(rows.tolist(), cells(_unit(m), how, threshold, own=own), m):
                     keys[r], raw[r] = k.tobytes(), v.tobytes()
             flat = np.frombuffer(b"".join(keys), np.int64)
-            n = how.tables * how.count
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(pa.array(np.arange(0, n * batch.num_rows + 1, n, dtype=np.int32)), pa.array(flat)), binary(raw)], names=["id", "copies", "keys", "unit"])
+            n = len(own) * how.count
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(pa.array(np.arange(0, n * batch.num_rows + 1, n, dtype=np.int32)), pa.array(flat)), binary(raw)], names=["id", "copies", "keys", "raw"])
 
     return run
 
 
-def _compare(threshold: float, tables: int, count: int):
+def _meetings(table: pd.DataFrame, threshold: float, kind: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Of each pair of blocks of a cell that has links: the rows of both, which of them link, and the cell's key."""
+    ids, key = table["id"].to_numpy(np.int64), table["key"].to_numpy(np.int64)
+    spot = table[["i", "j", "block"]].to_numpy(np.int64)
+    order = np.lexsort((ids, spot[:, 2], spot[:, 1], spot[:, 0], key))
+    cuts = np.flatnonzero(np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(spot[order, :2], axis=0) != 0).any(1)]))
+    vectors = table["raw"].to_numpy()
+    for a, b in zip(cuts, [*cuts[1:], len(order)]):
+        here = order[a:b]
+        if len(here) < 2:
+            continue
+        i, j = spot[here[0], :2]
+        unit = _unit(np.frombuffer(b"".join(vectors[here]), kind).reshape(len(here), -1))
+        left, right = spot[here, 2] == i, spot[here, 2] == j
+        hit = unit[left] @ unit[right].T >= threshold
+        if i == j:
+            hit = np.triu(hit, 1)
+        if hit.any():
+            yield here[left], here[right], hit, key[here[0]]
+
+
+def _join(threshold: float, kind: str):
+    """Links that hold together what links in each cell."""
+
     def run(table: pd.DataFrame) -> pd.DataFrame:
-        ids, copies, key = (table[c].to_numpy(np.int64) for c in ("id", "copies", "key"))
+        ids = table["id"].to_numpy(np.int64)
+        edges = [spanning(ids[rows], ids[cols], hit) for rows, cols, hit, _ in _meetings(table, threshold, kind)]
+        return pd.DataFrame({"u": np.concatenate([e[0] for e in edges] or [ids[:0]]), "v": np.concatenate([e[1] for e in edges] or [ids[:0]])})
+
+    return run
+
+
+def _count(threshold: float, kind: str, tables: int, count: int):
+    """Links of each vector, weighed by copies."""
+
+    def run(table: pd.DataFrame) -> pd.DataFrame:
+        ids, copies = (table[c].to_numpy(np.int64) for c in ("id", "copies"))
         keys = np.stack(table["keys"].to_numpy()).astype(np.int64)
-        spot = table[["i", "j", "block"]].to_numpy(np.int64)
-        order = np.lexsort((ids, spot[:, 2], spot[:, 1], spot[:, 0], key))
-        cuts = np.flatnonzero(np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(spot[order, :2], axis=0) != 0).any(1)]))
         links: list[tuple[np.ndarray, np.ndarray]] = []
-        edges: list[tuple[np.ndarray, np.ndarray]] = []
-        units = table["unit"].to_numpy()
-        for a, b in zip(cuts, [*cuts[1:], len(order)]):
-            here = order[a:b]
-            i, j = spot[here[0], :2]
-            rows, cols = here[spot[here, 2] == i], here[spot[here, 2] == j]
-            x = np.frombuffer(b"".join(units[rows]), np.float64).reshape(len(rows), -1)
-            y = np.frombuffer(b"".join(units[cols]), np.float64).reshape(len(cols), -1)
-            hit = x @ y.T >= threshold
-            if i == j:
-                hit = np.triu(hit, 1)
+        for rows, cols, hit, key in _meetings(table, threshold, kind):
             u, v = np.nonzero(hit)
-            if not len(u):
-                continue
             # A pair that meets in several cells counts in the one of least key.
             lower = np.zeros(len(u), bool)
             left, right = keys[rows].reshape(len(rows), tables, count), keys[cols].reshape(len(cols), tables, count)
             for p in range(0, len(u), 4096):
                 l, r = left[u[p : p + 4096]], right[v[p : p + 4096]]
-                lower[p : p + 4096] = ((l[:, :, :, None] == r[:, :, None, :]) & (l[:, :, :, None] < key[here[0]])).any((1, 2, 3))
+                lower[p : p + 4096] = ((l[:, :, :, None] == r[:, :, None, :]) & (l[:, :, :, None] < key)).any((1, 2, 3))
             u, v = u[~lower], v[~lower]
-            if not len(u):
-                continue
             links.append((ids[rows], np.bincount(u, weights=copies[cols][v], minlength=len(rows)).astype(np.int64)))
             links.append((ids[cols], np.bincount(v, weights=copies[rows][u], minlength=len(cols)).astype(np.int64)))
-            full = np.zeros(hit.shape, bool)
-            full[u, v] = True
-            edges.append(spanning(ids[rows], ids[cols], full))
-        frames = [pd.DataFrame({"id": np.concatenate([x[k] for x in links]) if k == 0 else None, "n": np.concatenate([x[1] for x in links]), "other": None}) for k in (0,) if links]
-        frames += [pd.DataFrame({"id": np.concatenate([x[0] for x in edges]), "n": 0, "other": np.concatenate([x[1] for x in edges])})] if edges else []
-        return pd.concat(frames)[["id", "n", "other"]].astype({"other": "Int64"}) if frames else pd.DataFrame({"id": ids[:0], "n": ids[:0], "other": ids[:0]})
+        return pd.DataFrame({"id": np.concatenate([x[0] for x in links] or [ids[:0]]), "n": np.concatenate([x[1] for x in links] or [ids[:0]])})
+
+    return run
+
+
+def _whole(threshold: float):
+    """Links of each vector of components that are compared whole."""
+
+    def run(table: pd.DataFrame) -> pd.DataFrame:
+        table = table.sort_values(["component", "id"])
+        component, copies = table["component"].to_numpy(np.int64), table["copies"].to_numpy(np.int64)
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(component) != 0]))
+        vectors, out = table["embedding"].to_numpy(), np.zeros(len(table), np.int64)
+        for a, b in zip(cuts, [*cuts[1:], len(table)]):
+            unit = _unit(np.stack(vectors[a:b]))
+            hit = unit @ unit.T >= threshold
+            np.fill_diagonal(hit, False)
+            out[a:b] = hit @ copies[a:b]
+        return pd.DataFrame({"id": table["id"].to_numpy(np.int64), "n": out})
 
     return run
 
 
+def _cells_of(keyed: DataFrame, rounds: int, r: int) -> DataFrame:
+    """keyed with a row for each of its cells in range r of rounds."""
+    return keyed.withColumn("key", F.explode(F.filter(F.array_distinct("keys"), lambda k: F.pmod(k, F.lit(rounds)) == r)))
+
+
+def _dealt(keyed: DataFrame, full: DataFrame, rounds: int, r: int, rows: int) -> DataFrame:
+    """Vectors by cells and pairs of blocks, in so many parts that one, which a task holds whole, has about PART rows on average."""
+    parts = max(4 * partitions(keyed.sparkSession), math.ceil(rows / rounds / PART))
+    placed = _cells_of(keyed, rounds, r).join(F.broadcast(full.select("key", "blocks")), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    meets = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    return meets.withColumn("part", F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts))).drop("blocks", "other")
+
+
+def _rounds(keyed: DataFrame, placed: int, row: int, most: int) -> tuple[DataFrame, int, int]:
+    """Cells of more than BLOCK vectors with their blocks, rows to come in all, and rounds of about `most` bytes for rows of `row` bytes."""
+    full = materialize(_cells_of(keyed, 1, 0).groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > BLOCK).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")), "full")
+    rows = placed + full.agg(F.coalesce(F.sum(F.col("members") * (F.col("blocks") - 1)), F.lit(0)).alias("m")).first()["m"]
+    return full, rows, max(1, math.ceil(rows * row / most))
+
+
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, how: Setting | None = None) -> DataFrame:
     """Classes of vectors linked by a cosine of at least `threshold` in double precision.
 
@@ -182,27 +252,47 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, how: Setting
     with each other. A row whose vec_id is null has component_id null and takes part in no link. An empty table gives
     no rows. A pair at cosine 0.9 is missed with less than 4e-5, nearer ones with less; all pairs that meet are compared,
     in blocks. `how` follows from the number of distinct vectors unless it is given.
+
+    Links are counted among all pairs of a component of up to BLOCK classes, and among pairs that meet in one of more.
     """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = "float" if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else "double"
+    item = "float32" if kind == "float" else "float64"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
     good = rows.where(F.col("vec_id").isNotNull() & F.coalesce((F.size("embedding") > 0) & F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0), F.lit(False)))
-    plus = lambda c: F.transform(c, lambda x: x + F.lit(0.0))
+    plus = lambda c: F.transform(c, lambda x: x + F.lit(0.0).cast(kind))
     classes = materialize(good.groupBy(plus("embedding").alias("embedding")).agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "vectors")
-    how = how or setting(classes.count())
-    tables, count = how.tables, how.count
-    hashed = materialize(classes.select("id", "embedding", "copies").mapInArrow(_hash(how, threshold), "id long, copies long, keys array<long>, unit binary"), "cells")
-    held = hashed.select("id", F.explode(F.array_distinct("keys")).alias("key"))
-    full = materialize(held.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")), "full")
-    # So many parts that one, which a task holds whole, has about PART rows on average.
-    rows_to_come = full.agg(F.coalesce(F.sum(F.col("members") * F.col("blocks")), F.lit(0)).alias("m")).first()["m"]
-    parts = max(4 * partitions(spark), math.ceil(rows_to_come / PART))
-    placed = hashed.select("*", F.explode(F.array_distinct("keys")).alias("key")).join(full.drop("members"), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    meets = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    tasks = meets.select("id", "copies", "keys", "unit", "key", "i", "j", "block", F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts)).alias("part"))
-    found = materialize(tasks.groupBy("part").applyInPandas(_compare(threshold, tables, count), "id long, n long, other long"), "compared")
-    links = found.where("n > 0").groupBy("id").agg(F.sum("n").alias("n"))
-    least = components(found.where("other is not null").select(F.col("id").alias("u"), F.col("other").alias("v")))
+    n = classes.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("embedding")), F.lit(0)).alias("numbers")).first()
+    how = how or setting(n["rows"])
+    wide = n["numbers"] * (4 if kind == "float" else 8) // max(n["rows"], 1) + 48
+    most = max(ROUND, n["rows"] * wide)
+    at_once = min(how.tables, max(1, most // (2 * max(n["rows"], 1) * how.count * 8)))
+    known = None
+    for first in range(0, how.tables, at_once):
+        own = range(first, min(first + at_once, how.tables))
+        keyed = materialize(classes.select("id", "embedding", "copies").mapInArrow(_hash(how, threshold, own, item), "id long, copies long, keys array<long>, raw binary").drop("copies"), "cells")
+        full, met, rounds = _rounds(keyed, n["rows"] * len(own) * how.count, wide, most)
+        found = [] if known is None else [known]
+        for r in range(rounds):
+            found.append(materialize(_dealt(keyed.select("id", "keys", "raw"), full, rounds, r, met).drop("keys").groupBy("part").applyInPandas(_join(threshold, item), "u long, v long"), "compared"))
+        known = materialize(functools.reduce(DataFrame.unionByName, found).distinct(), "links")
+        discard(keyed, full, *found)
+    least = materialize(components(known), "components")
+    linked = materialize(classes.join(least, "id").join(least.groupBy("component").agg(F.count("*").alias("m")), "component"), "linked")
+    parts = max(4 * partitions(vectors.sparkSession), math.ceil(n["rows"] / PART))
+    small = linked.where(F.col("m") <= BLOCK).withColumn("part", F.pmod(F.xxhash64("component"), F.lit(parts)))
+    counted = [materialize(small.groupBy("part").applyInPandas(_whole(threshold), "id long, n long"), "counted")]
+    large = linked.where(F.col("m") > BLOCK)
+    many = large.count()
+    if many:
+        keyed = materialize(large.select("id", "embedding", "copies").mapInArrow(_hash(how, threshold, range(how.tables), item), "id long, copies long, keys array<long>, raw binary"), "cells")
+        places = how.tables * how.count
+        full, met, rounds = _rounds(keyed, many * places, wide + 8 * places, most)
+        for r in range(rounds):
+            counted.append(materialize(_dealt(keyed, full, rounds, r, met).groupBy("part").applyInPandas(_count(threshold, item, how.tables, how.count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")), "counted"))
+        discard(keyed, full)
+    links = functools.reduce(DataFrame.unionByName, counted).groupBy("id").agg(F.sum("n").alias("n"))
+    discard(known)
     summed = materialize(classes.join(links, "id", "left").join(least, "id", "left").select("embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "summed")
     keyed = rows.select("vec_id", F.when(F.col("vec_id").isNotNull(), plus("embedding")).alias("embedding"))
     return (
