@@ -76,19 +76,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("binary")).mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class _Numbers(dict):
-    """Words by number; any other word has the number after the last."""
-
-    def __missing__(self, word: bytes) -> int:
-        return len(self)
-
-
 class Model:
     """Words by number, what follows from their counts, and how histories are dealt."""
 
     def __init__(self, words: list[bytes], counts: np.ndarray, total: int, kinds: int):
         self.total, self.kinds, self.counts = total, kinds, counts
-        self.number = _Numbers({w: i for i, w in enumerate(words)})
+        self.number = {w: i for i, w in enumerate(words)}
         self.rest_total, self.rest_kinds = total - int(counts.sum()), kinds - len(counts)
         share = np.append(counts + 1.0, self.rest_total + self.rest_kinds + 1.0)
         self.unigram = share / share.sum()
@@ -100,18 +93,16 @@ class Model:
         often = np.concatenate([counts, [self.rest_total, texts]])
         self.shards = np.maximum(1, -(-often // SHARE)).astype(np.uint64)
 
-    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-        """Numbers of all tokens (len(counts) for a word not counted here), how many each text has, and the words not counted here."""
-        get, none = self.number.__getitem__, len(self.counts)
-        flat: list[int] = []
-        size, other = [], []
+    def read(self, texts: list[str | None], others: bool = True) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
+        """Numbers of all tokens (len(counts) for a word not counted here), how many each text has, and the words not counted here, where asked for."""
+        get, none = self.number.get, len(self.counts)
+        numbers, other = [np.zeros(0, np.int64)], []
         for text in texts:
             found = tokens(text)
-            got = list(map(get, found))
-            other.append([w for w, g in zip(found, got) if g == none] if none in got else [])
-            flat += got
-            size.append(len(got))
-        return np.array(flat, np.int64), np.array(size, np.int64), other
+            numbers.append(np.fromiter(map(get, found, itertools.repeat(none)), np.int64, len(found)))
+            if others:
+                other.append([found[i] for i in np.flatnonzero(numbers[-1] == none).tolist()])
+        return np.concatenate(numbers), np.array([len(x) for x in numbers[1:]], np.int64), other
 
     def history(self, word: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of the word before each token and of the one before that."""
@@ -171,7 +162,7 @@ def _send(model: Model, parts: int):
                 rows = batch.column(0).to_numpy()
                 if not size:
                     first = int(rows[0])
-                word, many, _ = model.read(batch.column(batch.schema.get_field_index("text")).to_pylist())
+                word, many, _ = model.read(batch.column(batch.schema.get_field_index("text")).to_pylist(), others=False)
                 one, two = model.history(word, many)
                 owner = np.repeat(np.arange(len(rows)), many)
                 place = 2 * (rows[owner] - first) + batch.column(2).to_numpy(zero_copy_only=False)[owner]
